@@ -1,5 +1,5 @@
 """The query modules of this package."""
 
-from quorate.llm import queries_votes
+from quorate.llm import queries_text, queries_votes
 
-MODULES = [queries_votes]
+MODULES = [queries_votes, queries_text]
