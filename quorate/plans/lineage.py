@@ -31,3 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def workers(spark: SparkSession) -> int:
+    """Tasks that run at once, or the session's shuffle partitions where those are more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt out over the cluster if its files give fewer tasks than run at once; else as it is.
+
+    For rows whose work per byte far exceeds that of moving them.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() * 2 < n else df
