@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorate.plans.lineage import spread
+
 #: States of a text.
 EMPTY, WHOLE, CUT, OPEN = 0, 1, 2, 3
 
@@ -107,14 +109,14 @@ def state(text: str | None) -> int:
 
 
 def states(records: DataFrame, key: str = "rec_id", source: str = "model", text: str = "raw") -> DataFrame:
-    """``key``, ``source`` and the ``state`` of each text; tasks read whole texts and shuffle none."""
+    """``key``, ``source`` and the ``state`` of each text; tasks read whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([state(t) for t in batch.column(2).to_pylist()], pa.int32())], ["key", "source", "state"])
 
     kinds = {c: records.schema[c].dataType.simpleString() for c in (key, source)}
-    return records.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).mapInArrow(run, f"key {kinds[key]}, source {kinds[source]}, state int").select(F.col("key").alias(key), F.col("source").alias(source), "state")
+    return spread(records.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))).mapInArrow(run, f"key {kinds[key]}, source {kinds[source]}, state int").select(F.col("key").alias(key), F.col("source").alias(source), "state")
 
 
 def baselines(stated: DataFrame, source: str = "model") -> DataFrame:

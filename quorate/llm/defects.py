@@ -219,6 +219,7 @@ def defects(records: DataFrame, items: DataFrame) -> DataFrame:
     Records meet their item on dataset and uid; one without an item, or whose item has no question, can be empty,
     truncated or a refusal only.  Of several items under one key the one with the smallest inst_id counts.
     """
+    records = records.select("rec_id", "dataset", "uid", "model", "raw")
     base = completeness.baselines(completeness.states(records, "rec_id", "model", "raw"))
     silent = [r["model"] for r in base.where("NOT terminates").select("model").limit(10_001).collect()]
     if len(silent) > 10_000:

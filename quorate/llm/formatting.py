@@ -32,8 +32,12 @@ def encoded(records: DataFrame, key: str, texts: Sequence[str], lists: Sequence[
 
     Null equals empty throughout.  Only ``key`` and the named fields are read; keys must be unique.
     """
-    fields = [*texts, *lists]
-    entries = [F.transform(F.array(F.col(t)) if t in texts else F.coalesce(F.col(t), F.array().cast("array<string>")), lambda v, i=i: F.struct(F.lit(i).alias("field"), v.alias("value"))) for i, t in enumerate(fields)]
+
+    def entry(number: int, name: str) -> Column:
+        values = F.array(F.col(name)) if name in texts else F.coalesce(F.col(name), F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(number).alias("field"), v.alias("value")))
+
+    entries = [entry(i, t) for i, t in enumerate([*texts, *lists])]
     each = cut(records.select(F.col(key).alias("id"), F.explode(F.flatten(F.array(*entries))).alias("e")).select("id", "e.field", "e.value").where("value IS NOT NULL"))
     coded = each.join(dictionary(each), "value").where("code > 0").select("id", F.struct("field", "code").alias("c"))
     tuples = coded.groupBy("id").agg(F.sort_array(F.collect_list("c")).alias("tuple"))

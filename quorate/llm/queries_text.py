@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorate.llm import completeness, defects, formatting, packing, tokens
+from quorate.llm import completeness, defects, formatting, packing, subjects, tokens
 from quorate.sources.tables import table
 
 _ITEM = ("inst_id", ("question", "candidate"), ("context",))
@@ -42,7 +42,23 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(spark, table(spark, d, "documents"), table(spark, d, "judge_windows"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_items, p6_found, p6_rates, p8_ids, p9_prompts, p9_report)}
+def _subjects(run, spark: SparkSession, d: str) -> DataFrame:
+    return run(table(spark, d, "documents"), table(spark, d, "doc_subjects"), table(spark, d, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(subjects.found, spark, d)
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(subjects.subject_shares, spark, d)
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(subjects.composition, spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_items, p6_found, p6_rates, p8_ids, p9_prompts, p9_report, p10_found, p10_shares, p10_composition)}
 
 _NORM = r"lower(upper(regexp_replace(coalesce({}, ''), '[^\p{{L}}\p{{N}}]+', '', 'g')))"
 _COPIES = (

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorate.plans.lineage import spread
+
 #: Folder of the vocabulary files; a parameter everywhere below.
 FOLDER = os.environ.get("QUORATE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
@@ -154,7 +156,7 @@ def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Encoder:
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """``key`` and ``ids`` (array of int) of each row; null and empty texts have the empty array.
 
-    No shuffle: each task encodes its own rows, batch by batch, and remembers pieces it has met.
+    Without a shuffle where there are files enough: each task encodes its own rows, batch by batch, and remembers pieces it has met.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +172,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
+    return spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
 
 
 def count(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -183,7 +185,7 @@ def count(documents: DataFrame, key: str = "doc_id", text: str = "text", folder:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["key", "n"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long").select(F.col("key").alias(key), F.col("n").alias("n_tokens"))
+    return spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, n long").select(F.col("key").alias(key), F.col("n").alias("n_tokens"))
 
 
 def decode(ids: list[int], folder: str = FOLDER, vocabulary: str = VOCABULARY) -> str:
