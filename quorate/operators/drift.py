@@ -155,8 +155,9 @@ def unified_records(lines: DataFrame, renames: DataFrame, max_fields: int = 5000
     another type are converted where that loses nothing (a number in a string, a flag as 0 or 1, a one-element list,
     an object with the member ``hex``); what does not convert is null there and kept as JSON text in ``<field>_alt``,
     which exists for each field with several types.  The schema, not the data, goes through the driver: more than
-    ``max_fields`` names raise an error.  Columns of ``lines`` other than the payload come first; a field of the same
-    name gets the suffix ``_field``.
+    ``max_fields`` names raise an error.  Columns of ``lines`` other than the payload (and one named ``object``) come
+    first; a field whose name is taken, also in other letter case, gets the suffix ``_field``.  Fields with an empty
+    name, or one with both kinds of quotes, cannot be addressed and are left out.
     """
     spark = lines.sparkSession
     objects = json_objects(lines)
@@ -174,13 +175,21 @@ def unified_records(lines: DataFrame, renames: DataFrame, max_fields: int = 5000
             t = tags.setdefault(names[r["name"]], {})
             t[r["tag"]] = t.get(r["tag"], 0) + r["count"]
     targets = {"string": "string", "integer": "bigint", "decimal": "double", "boolean": "boolean", "array": "string", "object": "string"}
-    meta = [c for c in lines.columns if c != "payload"]
-    out = [F.col(c) for c in meta]
+    meta = [c for c in lines.columns if c not in ("payload", "object")]
+    out, taken = [F.col(c) for c in meta], {c.lower() for c in meta}
+
+    def free(label: str) -> str:
+        while label.lower() in taken:
+            label += "_field"
+        taken.add(label.lower())
+        return label
+
+    names = {n: c for n, c in names.items() if n and not ("'" in n and '"' in n)}
     for field in sorted(set(names.values())):
         kinds = tags.get(field, {"string": 0})
         main = min(kinds, key=lambda k: (-kinds[k], TAGS.index(k)))
         aliases = sorted((n for n, c in names.items() if c == field), key=lambda n: (n != field, n))
-        at = lambda n: "$['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        at = lambda n: f'$["{n}"]' if "'" in n else f"$['{n}']"
         value = F.coalesce(*[F.try_variant_get("object", at(n), "variant") for n in aliases])
         plain = F.coalesce(F.try_variant_get(value, f"$.{WRAPPED}", "variant"), F.when(F.try_variant_get(value, "$[1]", "variant").isNull(), F.try_variant_get(value, "$[0]", "variant")), value)
         target = targets[main]
@@ -188,11 +197,11 @@ def unified_records(lines: DataFrame, renames: DataFrame, max_fields: int = 5000
             typed = F.to_json(value)
         elif target == "bigint":
             number = F.try_variant_get(plain, "$", "double")
-            typed = F.coalesce(F.when(number == F.floor(number), F.try_variant_get(plain, "$", "bigint")), F.when(F.try_variant_get(plain, "$", "boolean").isNotNull() & number.isNull(), F.try_variant_get(plain, "$", "boolean").cast("bigint")))
+            typed = F.coalesce(F.when(number == F.floor(number), F.try_variant_get(plain, "$", "bigint")), F.when(F.schema_of_variant(plain) == "BOOLEAN", F.try_variant_get(plain, "$", "boolean").cast("bigint")))
         else:
             typed = F.try_variant_get(plain, "$", target)
-        label = field if field not in meta else f"{field}_field"
+        label = free(field)
         out.append(typed.alias(label))
         if len(kinds) > 1:
-            out.append(F.when(type_tag(value) != main, F.to_json(value)).alias(f"{label}_alt"))
+            out.append(F.when(type_tag(value) != main, F.to_json(value)).alias(free(f"{label}_alt")))
     return objects.select(*out)

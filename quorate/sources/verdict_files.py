@@ -21,11 +21,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], schema: str = VERDIC
     A path without any file, and files without any row, raise.  ``tolerant`` drops malformed lines and keeps the
     others; else the first malformed line raises when it is read.
     """
-    mode = "PERMISSIVE" if tolerant else "FAILFAST"
-    full = f"{schema}, _bad STRING" if tolerant else schema
-    rows = spark.read.schema(full).option("mode", mode).option("columnNameOfCorruptRecord", "_bad").json(paths)
-    if tolerant:
-        rows = rows.where("_bad IS NULL").drop("_bad")
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(paths)
     if rows.isEmpty():
         raise ValueError(f"no rows in {paths}")
     return rows
