@@ -86,7 +86,7 @@ def test_against_brute_force(spark):
 
 
 def test_unified_records(spark):
-    a = [{"uid": "1", "gold": 1, "src_key": "ab"}, {"uid": "2", "gold": 0, "src_key": "cd"}, {"uid": "7", "gold": 0, "src_key": "cd"}]
+    a = [{"uid": "1", "gold": 1, "src_key": "ab"}, {"uid": "2", "gold": 0, "src_key": "cd"}, *({"uid": u, "gold": 0, "src_key": "cd"} for u in "789")]
     b = [{"uid": "1", "gold": True, "srcKey": "ab"}, {"uid": "2", "gold": "0", "srcKey": ["cd"]}, {"uid": "3", "gold": 1.0, "srcKey": {"hex": "ef"}}, {"uid": "4", "gold": "no", "srcKey": 5}]
     t = lines(spark, a, b)
     t = t.withColumn("extra", F.lit("e"))
