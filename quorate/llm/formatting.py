@@ -17,7 +17,7 @@ from quorate.plans.lineage import cut
 def canonical(value: Column) -> Column:
     """Letters and digits of a text in their order, letter case folded; the empty text for null."""
     kept = F.regexp_replace(F.coalesce(value, F.lit("")), r"[^\p{L}\p{N}]+", "")
-    return F.lower(F.upper(kept))  # by way of upper case, so that one sharp s equals two s
+    return F.replace(F.lower(F.upper(kept)), F.lit("ß"), F.lit("ss"))  # a sharp s is two s in upper case
 
 
 def dictionary(values: DataFrame) -> DataFrame:

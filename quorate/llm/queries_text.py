@@ -60,7 +60,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_items, p6_found, p6_rates, p8_ids, p9_prompts, p9_report, p10_found, p10_shares, p10_composition)}
 
-_NORM = r"lower(upper(regexp_replace(coalesce({}, ''), '[^\p{{L}}\p{{N}}]+', '', 'g')))"
+_NORM = r"replace(lower(upper(regexp_replace(coalesce({}, ''), '[^\p{{L}}\p{{N}}]+', '', 'g'))), 'ß', 'ss')"
 _COPIES = (
     f"WITH c AS (SELECT inst_id, dataset, uid, {_NORM.format('question')} AS q, {_NORM.format('candidate')} AS a, "
     f"list_sort(list_filter(list_transform(coalesce(context, []), lambda x: {_NORM.format('x')}), lambda x: x <> '')) AS e FROM instances), "

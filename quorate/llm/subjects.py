@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,22 +90,20 @@ def vocabulary(tokens: DataFrame) -> list[str]:
 
 def matrix(tokens: DataFrame, anchors: DataFrame, terms: list[str]) -> DataFrame:
     """Rows of the document-term matrix with their anchors: doc_id, lang, subjects, terms (per sentence, as numbers) and lens."""
-    number = {t: i for i, t in enumerate(terms)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
         for batch in batches:
-            out, sizes = [], []
-            for feats, lens in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                at, mine, kept = 0, [], []
-                for n in lens:
-                    ids = [number[t] for t in feats[at : at + n] if t in number]
-                    at += n
-                    if ids:
-                        mine += ids
-                        kept.append(len(ids))
-                out.append(mine)
-                sizes.append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "lang", "subjects", "terms", "lens"])
+            feats, lens = batch.column(3), batch.column(4)
+            at = pc.index_in(feats.flatten(), value_set=known)
+            kept = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            size = lens.flatten().to_numpy(zero_copy_only=False)
+            sentence = np.repeat(np.arange(len(size)), size)
+            left = np.bincount(sentence[kept], minlength=len(size))  # known terms of each sentence
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lens.offsets.to_numpy()))
+            ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            numbers = pa.ListArray.from_arrays(ends(np.bincount(doc, left, batch.num_rows).astype(np.int64)), at.drop_null().cast(pa.int32()))
+            sizes = pa.ListArray.from_arrays(ends(np.bincount(doc[left > 0], minlength=batch.num_rows)), pa.array(left[left > 0].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), numbers, sizes], ["doc_id", "lang", "subjects", "terms", "lens"])
 
     joined = tokens.join(anchors, "doc_id", "left").select("doc_id", "lang", F.coalesce("subjects", F.array().cast("array<int>")).alias("subjects"), "feats", "lens")
     return joined.mapInArrow(run, "doc_id long, lang int, subjects array<int>, terms array<int>, lens array<int>")
@@ -118,10 +117,12 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def mixtures(own: np.ndarray, at: np.ndarray, weight: np.ndarray, w: np.ndarray, inner: int = INNER) -> np.ndarray:
     """Rows ``w`` after ``inner`` multiplicative updates; ``own`` has the components of each entry, ``at`` its row."""
     edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    rows = at[edges]
+    rows, spans = at[edges], np.diff(np.r_[edges, len(at)])
+    own, weight, now = own.astype(np.float32), weight.astype(np.float32), w[rows].astype(np.float32)
     for _ in range(inner):
-        ratio = weight / ((w[at] * own).sum(1) + 1e-12)
-        w[rows] *= np.add.reduceat(own * ratio[:, None], edges, axis=0)
+        ratio = weight / (np.einsum("ij,ij->i", np.repeat(now, spans, axis=0), own) + np.float32(1e-12))
+        now *= np.add.reduceat(own * ratio[:, None], edges, axis=0)
+    w[rows] = now
     return w
 
 
