@@ -8,7 +8,7 @@ towards what is left; several chains run per block and the best one counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -80,39 +80,40 @@ def anneal(size: np.ndarray, ones: np.ndarray, start: np.ndarray, goal: np.ndarr
     ``goal`` has the wanted records of each split; labels should follow the same proportions.  A step moves a component
     to another split or exchanges two of different splits; worse states are kept with a probability that falls.
     """
-    rng, k = np.random.default_rng(seed), len(goal)
-    at = start.copy()
-    total, label = max(size.sum(), 1), max(ones.sum(), 1)
-    want, want1 = goal / max(goal.sum(), 1e-9), goal / max(goal.sum(), 1e-9) * label
-    want = want * total
-    have = np.bincount(at, size, k)
-    have1 = np.bincount(at, ones, k)
-
-    def cost(h: np.ndarray, h1: np.ndarray) -> float:
-        return float((np.abs(h - want) / total).sum() + 0.5 * (np.abs(h1 - want1) / label).sum())
-
-    now = best = cost(have, have1)
-    kept, n = at.copy(), len(size)
+    rng, k, n = np.random.default_rng(seed), len(goal), len(size)
+    total, label = max(float(size.sum()), 1.0), max(float(ones.sum()), 1.0)
+    parts = goal / max(goal.sum(), 1e-9)
+    want, want1 = [float(x) for x in parts * size.sum()], [float(x) for x in parts * ones.sum()]
+    have, have1 = [float(x) for x in np.bincount(start, size, k)], [float(x) for x in np.bincount(start, ones, k)]
+    at, kept, sizes, labels = start.tolist(), start.copy(), size.tolist(), ones.tolist()
+
+    def off(split: int, more: float, more1: float) -> float:
+        return abs(have[split] + more - want[split]) / total + 0.5 * abs(have1[split] + more1 - want1[split]) / label
+
+    now = best = sum(off(s, 0.0, 0.0) for s in range(k))
     steps = min(200_000, rounds * n + 400)
-    pick, other, split, luck = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, k, steps), rng.random(steps)
-    for step in range(steps):
-        i, j, heat = pick[step], other[step], 0.02 * (1 - step / steps) ** 3 / max(1, n**0.5)
-        a, b = at[i], split[step] if step % 2 else at[j]
+    picks, others, splits, lucks = rng.integers(0, n, steps).tolist(), rng.integers(0, n, steps).tolist(), rng.integers(0, k, steps).tolist(), rng.random(steps).tolist()
+    changed: list[tuple[int, int]] = []  # moves since the best state
+    for step, (i, j, split, luck) in enumerate(zip(picks, others, splits, lucks, strict=True)):
+        swap = not step % 2
+        a, b = at[i], at[j] if swap else split
         if a == b:
             continue
-        ds, d1 = size[i], ones[i]
-        if not step % 2:
-            ds, d1 = ds - size[j], d1 - ones[j]
-        h, h1 = have.copy(), have1.copy()
-        h[a], h[b], h1[a], h1[b] = h[a] - ds, h[b] + ds, h1[a] - d1, h1[b] + d1
-        new = cost(h, h1)
-        if new <= now or luck[step] < np.exp((now - new) / max(heat, 1e-12)):
+        ds, d1 = (sizes[i] - sizes[j], labels[i] - labels[j]) if swap else (sizes[i], labels[i])
+        new = now - off(a, 0.0, 0.0) - off(b, 0.0, 0.0) + off(a, -ds, -d1) + off(b, ds, d1)
+        heat = 0.02 * (1 - step / steps) ** 3 / n**0.5
+        if new <= now or (heat > 0 and luck < math.exp((now - new) / heat)):
             at[i] = b
-            if not step % 2:
+            changed.append((i, b))
+            if swap:
                 at[j] = a
-            have, have1, now = h, h1, new
+                changed.append((j, a))
+            have[a], have[b], have1[a], have1[b], now = have[a] - ds, have[b] + ds, have1[a] - d1, have1[b] + d1, new
             if now < best - 1e-12:
-                best, kept = now, at.copy()
+                best = now
+                for c, to in changed:
+                    kept[c] = to
+                changed.clear()
                 if best < 1e-9:
                     break
     return best, kept
