@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.llm import completeness
+from quorate.plans.lineage import spread
 
 #: Words per shingle, and the share of the prompt's shingles that a copy must contain.
 SHINGLE, CONTAINED = 5, 0.8
@@ -79,6 +82,7 @@ _TEMPLATES = {
 #: Words that narrow what is declined to a side issue, and marks of a judgement given after all.
 _NARROWED = re.compile(r"\bonly\b|\bnur\b|\bsolo\b|\bsólo\b|\bseulement\b|\bbut the\b|\bthough\b|\bpedantic\b", re.IGNORECASE)
 _JUDGED = re.compile(r"verdict\s*[:\-–—]?\s*\**\s*(?:hallucinat|support|unsupport|not\s+s|unsure)|looks hallucinated|call it a hallucination|is supported by|does support it", re.IGNORECASE)
+_VERDICT_SAID = re.compile(r"verdict\s*[:\-–—]?\s*\**\s*(?:hallucinat|support|unsupport|not\s+s|unsure|abstain|n/a)", re.IGNORECASE)
 _HINT = re.compile(r"\b(?:can(?:'|’)?t|cannot|can not|won(?:'|’)t|will not|unable|declin|refus|rather not|prefer not|not (?:permitted|allowed|able|possible|appropriate|be appropriate|comfortable)|guidelines|policy|policies|pass on|outside what)|\b(?:ne (?:peux|puis|suis|saurais|m'est)|refuse|préfère)|\b(?:nicht|ablehnen|lehne|außerstande)\b|\b(?:no (?:puedo|podré|estoy|me|voy|quiero|debo)|negarme|rechazar|prefiero)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -148,6 +152,11 @@ def language(text: str) -> tuple[str | None, float]:
     return (first, score[first] - score[second]) if score[first] > score[second] else (None, 0.0)
 
 
+def may_echo(text: str) -> bool:
+    """Whether a text can be a mere copy of its prompt: it says no verdict, which would add something."""
+    return not _VERDICT_SAID.search(text)
+
+
 class Prompt:
     """What the responses to one item are compared with, prepared once."""
 
@@ -164,8 +173,8 @@ class Prompt:
     def echoed(self, text: str) -> bool:
         """Whether the text only gives back the question, also with other parts of the prompt, headings apart."""
         low = text.lower()
-        if not self.shingles or ("verdict" in low and "verdict" not in self.words) or self.question[-1] not in low:
-            return False  # a verdict adds something
+        if not self.shingles or self.question[-1] not in low or not may_echo(text):
+            return False
         words = _TOKEN.findall(low)
         if not self.words.issubset(words):
             return False
@@ -188,7 +197,17 @@ class Prompt:
         return True
 
 
-def reasoning_language(text: str, prompt: Prompt) -> str | None:
+def own_defect(text: str | None, terminates: bool) -> str | None:
+    """The defect that a response shows by itself, without its prompt."""
+    state = completeness.state(text)
+    if state == completeness.EMPTY:
+        return "empty"
+    if state == completeness.CUT or (state == completeness.OPEN and terminates):
+        return "truncated"
+    return "refusal" if is_refusal(text) else None
+
+
+def reasoning_language(text: str) -> str | None:
     """Language of the reasoning of a response: its text without verdict lines; None where that says too little."""
     body = _VERDICT_LINE.sub(" ", text) if "erdict" in text or "ERDICT" in text else text
     lang, lead = language(body)
@@ -197,49 +216,71 @@ def reasoning_language(text: str, prompt: Prompt) -> str | None:
 
 def defect(text: str | None, prompt: Prompt, terminates: bool) -> str | None:
     """The defect of a response, None where it is sound."""
-    state = completeness.state(text)
-    if state == completeness.EMPTY:
-        return "empty"
+    own = own_defect(text, terminates)
+    if own == "empty":
+        return own
     if prompt.echoed(text):
         return "echo"
-    if state == completeness.CUT or (state == completeness.OPEN and terminates):
-        return "truncated"
-    if is_refusal(text):
-        return "refusal"
-    if prompt.language:
-        lang = reasoning_language(text, prompt)
-        if lang and lang != prompt.language:
-            return "language"
-    return None
+    if own:
+        return own
+    lang = reasoning_language(text)
+    return "language" if lang and prompt.language and lang != prompt.language else None
+
+
+def _alone(records: DataFrame, silent: list[str | None]) -> DataFrame:
+    """What each response shows by itself: rec_id, dataset, uid, own (defect), lang and, where it may be an echo, raw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, lang, kept = [], [], []
+            for model, raw in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                kind = own_defect(raw, model not in silent)
+                own.append(kind)
+                lang.append(None if kind else reasoning_language(raw))
+                kept.append(raw if kind != "empty" and may_echo(raw) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.string()), pa.array(lang, pa.string()), pa.array(kept, pa.string())], ["rec_id", "dataset", "uid", "own", "lang", "raw"])
+
+    return spread(records).mapInArrow(run, "rec_id long, dataset string, uid string, own string, lang string, raw string")
+
+
+def _asked(items: DataFrame) -> DataFrame:
+    """The prompt of each item with the language of its question: dataset, uid, asked, item."""
+    one = items.groupBy("dataset", "uid").agg(F.min_by(F.struct("question", "candidate", "context"), "inst_id").alias("item"))
+
+    @F.pandas_udf("string")
+    def asked(question: pd.Series) -> pd.Series:
+        return question.map(lambda q: language(q or "")[0])
+
+    return one.select("dataset", "uid", "item", asked(F.col("item.question")).alias("asked"))
 
 
 def defects(records: DataFrame, items: DataFrame) -> DataFrame:
     """rec_id and defect (empty, truncated, refusal, echo, language) of each defective record, repeated rows included.
 
     Records meet their item on dataset and uid; one without an item, or whose item has no question, can be empty,
-    truncated or a refusal only.  Of several items under one key the one with the smallest inst_id counts.
+    truncated or a refusal only.  Of several items under one key the one with the smallest inst_id counts.  Texts are
+    judged by themselves first; only those that may be an echo take their text along to the prompt.
     """
     records = records.select("rec_id", "dataset", "uid", "model", "raw")
     base = completeness.baselines(completeness.states(records, "rec_id", "model", "raw"))
     silent = [r["model"] for r in base.where("NOT terminates").select("model").limit(10_001).collect()]
     if len(silent) > 10_000:
         raise ValueError("more than 10000 sources without terminators")
-    stops = ~F.coalesce(F.col("model").isin(silent), F.lit(None in silent)) if silent else F.lit(True)
-    one = items.groupBy("dataset", "uid").agg(F.min_by(F.struct("question", "candidate", "context"), "inst_id").alias("item"))
-    pairs = records.select("rec_id", "dataset", "uid", "raw", stops.alias("stops")).join(one, ["dataset", "uid"], "left")
+    pairs = _alone(records, silent).join(_asked(items), ["dataset", "uid"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, prompt = object(), Prompt(None, None, None)
         for batch in batches:
-            ids, kinds = [], []
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for rec, raw, stop, question, candidate, context in zip(*columns, strict=True):
-                if (question, candidate, context) != last:
+            echo = []
+            for raw, question, candidate, context in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                if raw is not None and (question, candidate, context) != last:
                     last, prompt = (question, candidate, context), Prompt(question, candidate, context)
-                kind = defect(raw, prompt, stop)
-                if kind:
-                    ids.append(rec)
-                    kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string())], ["rec_id", "defect"])
-
-    return pairs.select("rec_id", "raw", "stops", "item.question", "item.candidate", "item.context").mapInArrow(run, "rec_id long, defect string")
+                echo.append(raw is not None and prompt.echoed(raw))
+            kind = pc.if_else(pa.array(echo, pa.bool_()), "echo", batch.column(1))
+            kept = pc.is_valid(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), kind.filter(kept)], ["rec_id", "defect"])
+
+    other = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("lang") != F.col("asked"), "language")
+    told = lambda c: F.when(F.col("raw").isNotNull(), F.col(f"item.{c}")).alias(c)
+    rows = pairs.select("rec_id", other.alias("own"), "raw", told("question"), told("candidate"), told("context")).where("own IS NOT NULL OR raw IS NOT NULL")
+    return rows.mapInArrow(run, "rec_id long, defect string")
