@@ -83,12 +83,17 @@ def specialist_document(dataset: Column, question: Column, context: Column) -> C
     return F.when(dataset.isin(*QUESTION_IN_DOCUMENT), F.concat(strip(question), F.lit("\n\n"), body)).otherwise(body)
 
 
-def fit(prompt: Column, window: Column, reserve: int) -> Column:
-    """``prompt`` without its middle where it has more words than the window leaves, both ends kept alike.
+def words(prompt: Column) -> Column:
+    """Words of a prompt, which stand in for its tokens."""
+    return F.split(strip(prompt), r"\s+")
 
-    Words stand in for tokens; runs of white space become one blank where words are cut.
+
+def fit(prompt: Column, words: Column, window: Column, reserve: int) -> Column:
+    """``prompt`` without its middle where it has more ``words`` than the window leaves, both ends kept alike.
+
+    Runs of white space become one blank where words are cut.
     """
-    words, budget = F.split(strip(prompt), r"\s+"), window - reserve - MARGIN
+    budget = window - reserve - MARGIN
     head = F.floor(budget / 2).cast("int")
     tail = (budget - head).cast("int")
     kept = F.concat(F.array_join(F.slice(words, F.lit(1), head), " "), F.lit(CUT_NOTE), F.array_join(F.slice(words, -tail, tail), " "))

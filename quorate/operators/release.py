@@ -39,10 +39,25 @@ def _chain(order: str, digest: str) -> Column:
     return F.sha2(F.encode(F.array_join(F.transform(listed, lambda x: x["d"]), "\n"), "UTF-8"), 256).alias("digest")
 
 
+def tree_digest(lines: DataFrame, scope: list[str], line: str, name: str = "digest") -> DataFrame:
+    """Digest of the set of lines of each scope, whatever their order and number.
+
+    Lines are put together by the first six, then the first three digits of their own digests, so that no task holds
+    more than a sixteen-millionth of them.  Repeated lines count each time.
+    """
+    whole = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "\n"), 256)
+    hashed = lines.select(*scope, line, F.sha2(line, 256).alias("_h"))
+    for digits in (6, 3):
+        hashed = hashed.groupBy(*scope, F.substring("_h", 1, digits).alias("_b")).agg(whole(F.col(line)).alias("_d")).select(*scope, F.concat("_b", "_d").alias(line), F.col("_b").alias("_h"))
+    return hashed.groupBy(*scope).agg(whole(F.col(line)).alias(name))
+
+
 def release_digest(files: DataFrame, path: Column) -> DataFrame:
-    """One row: files, records and the digest over ``path digest`` lines in the order of paths."""
-    line = F.concat(path, F.lit(" "), F.col("sha256"), F.lit("\n"))
-    return files.agg(F.count("*").alias("n_files"), F.sum("records").alias("records"), F.sha2(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(path.alias("p"), line.alias("l")))), lambda x: x["l"]), ""), "UTF-8"), 256).alias("digest"))
+    """One row: files, records and the digest over the ``path digest`` lines of all files."""
+    lines = files.select("records", F.concat(path, F.lit(" "), F.col("sha256")).alias("line"), F.lit(1).alias("g"))
+    counts = lines.agg(F.count("*").alias("n_files"), F.sum("records").alias("records"), F.lit(None).cast("string").alias("digest"))
+    digest = tree_digest(lines, ["g"], "line").select(F.lit(None).cast("bigint").alias("n_files"), F.lit(None).cast("bigint").alias("records"), "digest")
+    return counts.unionByName(digest).agg(*[F.max(c).alias(c) for c in counts.columns])
 
 
 def lock_check(lock: DataFrame, present: DataFrame) -> DataFrame:
@@ -60,9 +75,7 @@ def is_measurement(name: Column) -> Column:
 
 def run_signature(items: DataFrame, arms: list[str], models: list[str], window: int) -> DataFrame:
     """Per dataset: the digest of a run's plan, over its items with their content, its arms, its models and the window."""
-    keyed = items.select("dataset", F.concat_ws(" ", "uid", content_key(F.col("question"), F.col("context"), F.col("candidate"))).alias("l"))
-    # Digests of hash buckets first, so that a dataset's items never gather in one place.
-    bucket = F.substring(F.sha2("l", 256), 1, 3)
-    parts = keyed.groupBy("dataset", bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("d"))
+    key = content_key(F.col("question"), F.col("context"), F.col("candidate"))
+    digests = tree_digest(items.select("dataset", F.concat_ws(" ", "uid", key).alias("line")), ["dataset"], "line")
     plan = "|".join([*arms, *models, str(window)])
-    return parts.groupBy("dataset").agg(F.sha2(F.concat(F.lit(plan + "\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n")), 256).alias("signature"))
+    return digests.select("dataset", F.sha2(F.concat(F.lit(plan + "\n"), "digest"), 256).alias("signature"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quorate.functions import prompts
 from quorate.functions.text import content_key
 from quorate.operators import compare, guard, panel, release
-from quorate.plans.lineage import shared_folder
+from quorate.plans.lineage import shared_folder, spread
 from quorate.sinks import files
 from quorate.sources import builders
 from quorate.sources.tables import table
@@ -125,8 +125,9 @@ def specialist_pair(spark: SparkSession, d: str) -> DataFrame:
 def fit_prompt(spark: SparkSession, d: str) -> DataFrame:
     windows = [(r["judge"], r["window_tokens"]) for r in table(spark, d, "judge_windows").collect()]  # the fixed table of judges
     each = F.explode(F.array(*[F.struct(F.lit(j).alias("judge"), F.lit(w).alias("window")) for j, w in windows])).alias("j")
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", each)
-    return rows.select("doc_id", "j.judge", F.md5(prompts.fit(F.col("text"), F.col("j.window"), 16)).alias("fitted"))
+    texts = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    rows = texts.withColumn("words", prompts.words(F.col("text"))).select("*", each)  # words are found once, for all windows
+    return rows.select("doc_id", "j.judge", F.md5(prompts.fit(F.col("text"), F.col("words"), F.col("j.window"), 16)).alias("fitted"))
 
 
 def file_digests(spark: SparkSession, d: str) -> DataFrame:
@@ -215,6 +216,15 @@ _DIGEST = (
 _FIELDS = ("row_id", "kind", "gold", "stratum", "category", "src_sha1")
 
 
+def _tree(scope: str) -> str:
+    """Digest of the lines ``x.line`` of each scope, by way of their digests' first six and three digits."""
+    whole = "sha256(string_agg(line, chr(10) ORDER BY line))"
+    return (
+        f"t6 AS (SELECT {scope}, substr(sha256(line), 1, 6) AS b, substr(sha256(line), 1, 6) || {whole} AS line FROM x GROUP BY {scope}, substr(sha256(line), 1, 6)), "
+        f"t3 AS (SELECT {scope}, substr(b, 1, 3) AS b, substr(b, 1, 3) || {whole} AS line FROM t6 GROUP BY {scope}, substr(b, 1, 3)), t0 AS (SELECT {scope}, {whole} AS digest FROM t3 GROUP BY {scope})"
+    )
+
+
 def _drift(index: str, fields: tuple[str, ...]) -> str:
     mins = ", ".join(f"min({f}) AS {f}" for f in fields)
     checks = " UNION ALL ".join([
@@ -264,7 +274,7 @@ SQL = {
     "fit_prompt": rf"WITH x AS (SELECT doc_id, judge, text, string_split_regex({_strip('text')}, '\s+') AS w, window_tokens - 16 - {prompts.MARGIN} AS b FROM documents, judge_windows WHERE text IS NOT NULL) "
     f"SELECT doc_id, judge, md5(CASE WHEN b > 0 AND len(w) > b THEN array_to_string(w[1:b // 2], ' ') || '{prompts.CUT_NOTE}' || array_to_string(w[len(w) - (b - b // 2) + 1:], ' ') ELSE text END) AS fitted FROM x",
     "file_digests": "WITH " + _DIGEST.format("shard_lines") + " SELECT * FROM f",
-    "release_digest": "WITH " + _DIGEST.format("shard_lines") + " SELECT count(*) AS n_files, sum(records)::BIGINT AS records, sha256(string_agg(lpad(file_id::VARCHAR, 12, '0') || ' ' || sha256 || chr(10), '' ORDER BY lpad(file_id::VARCHAR, 12, '0'))) AS digest FROM f",
+    "release_digest": "WITH " + _DIGEST.format("shard_lines") + ", x AS (SELECT 1 AS g, records, lpad(file_id::VARCHAR, 12, '0') || ' ' || sha256 AS line FROM f), " + _tree("g") + " SELECT (SELECT count(*) FROM f) AS n_files, (SELECT sum(records)::BIGINT FROM f) AS records, digest FROM t0",
     "lock_check": "WITH l AS (WITH " + _DIGEST.format("shard_lines WHERE written_at < '2025-10-01'") + " SELECT * FROM f), p AS (WITH " + _DIGEST.format("shard_lines WHERE file_id % 7 <> 0 AND (line_no > 1 OR file_id % 5 <> 0)") + " SELECT * FROM f), "
     "j AS (SELECT coalesce(l.file_id, p.file_id)::VARCHAR AS path, CASE WHEN p.file_id IS NULL THEN 'missing' WHEN l.file_id IS NULL THEN 'unlocked' WHEN l.sha256 <> p.sha256 THEN 'changed' END AS state FROM l FULL JOIN p ON l.file_id = p.file_id) SELECT * FROM j WHERE state IS NOT NULL",
     "guard_decisions": f"WITH x AS (SELECT file_id, split_part(stream, '/', 1) AS dataset, ['panel', 'judge', 'ptjudge', 'minicheck'][file_id % 4 + 1] AS kind, {_LABEL} AS label FROM shard_lines WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'), "
@@ -272,8 +282,8 @@ SQL = {
     "h AS (SELECT *, len(rec) = 0 AND (kind = 'minicheck' OR (kind = 'ptjudge' AND want = 'qa')) AS vintage FROM g) "
     "SELECT file_id, n_rows, array_to_string(rec, ',') AS recorded, CASE WHEN len(rec) = 0 THEN 'none' WHEN rec = [want] THEN 'same' WHEN list_contains(rec, want) THEN 'wider' ELSE 'other' END AS relation, "
     "CASE WHEN len(rec) = 0 AND NOT vintage AND kind = 'panel' THEN 'run' WHEN NOT vintage AND rec <> [want] THEN 'refuse' WHEN kind <> 'panel' AND file_id % 7 <> 0 THEN 'skip' ELSE 'run' END AS decision FROM h",
-    "run_signature": f"WITH x AS (SELECT dataset, uid || ' ' || {_sha()} AS l FROM instances), b AS (SELECT dataset, substr(sha256(l), 1, 3) AS b, sha256(string_agg(l, chr(10) ORDER BY l)) AS d FROM x GROUP BY ALL) "
-    "SELECT dataset, sha256('def_on brief_reason p0|' || (SELECT string_agg(model, '|' ORDER BY panel_idx) FROM panel_roster) || '|4096' || chr(10) || string_agg(d, chr(10) ORDER BY b)) AS signature FROM b GROUP BY dataset",
+    "run_signature": f"WITH x AS (SELECT dataset, uid || ' ' || {_sha()} AS line FROM instances), {_tree('dataset')} "
+    "SELECT dataset, sha256('def_on brief_reason p0|' || (SELECT string_agg(model, '|' ORDER BY panel_idx) FROM panel_roster) || '|4096' || chr(10) || digest) AS signature FROM t0",
     "mock_run": f"WITH x AS (SELECT dataset, panel_idx AS model_idx, model, gold, model || '|' || dataset || '|' || uid || '|' || {_COND} AS k FROM instances, panel_roster), "
     f"y AS (SELECT *, CASE WHEN {_POINT.format(chr(39) + 'abs|' + chr(39) + ' || k')} % 50 = 0 THEN NULL WHEN {_POINT.format('k')} / 4294967296.0::DOUBLE > 0.15 THEN gold ELSE 1 - gold END AS pred FROM x) "
     "SELECT dataset, model_idx, model, count(*) AS n, count(pred) AS n_pred, count(*) FILTER (WHERE pred <> gold) AS n_wrong FROM y GROUP BY ALL",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import parsers
 from quorate.operators import bootstrap, committee, compare, cost, scorer, verdicts
+from quorate.plans.lineage import spread
 from quorate.sources.tables import table
 
 DRAWS = 200
@@ -84,7 +85,7 @@ def run_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return _exp(spark, d).select("rec_id", parsers.parse_verdict(F.col("raw")).alias("label"))
+    return spread(_exp(spark, d).select("rec_id", "raw")).select("rec_id", parsers.parse_verdict(F.col("raw")).alias("label"))
 
 
 def parse_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,7 @@ def _native(spark: SparkSession, d: str, judge: str) -> DataFrame:
     text = F.when(r == 0, forms[0])
     for i, form in enumerate(forms[1:], 1):
         text = text.when(r == i, form)
-    return _exp(spark, d).select("rec_id", text.alias("text"))
+    return spread(_exp(spark, d).select("rec_id", text.alias("text")))
 
 
 def _graded(spark: SparkSession, d: str, judge: str, parse) -> DataFrame:
@@ -132,7 +133,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     from quorate.functions.text import point
 
     slot = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("slot")
-    each = _exp(spark, d).select("rec_id", slot)
+    each = spread(_exp(spark, d).select("rec_id")).select("rec_id", slot)
     pick = (point("piece", F.col("rec_id"), F.col("slot")) % len(_PIECES)).cast("int") + 1
     return each.select("rec_id", F.element_at(F.array(*[F.lit(p) for p in _PIECES]), pick).alias("piece"), (-5.0 * point("lp", F.col("rec_id"), F.col("slot")) / F.lit(4294967296.0)).alias("logprob"))
 

@@ -21,7 +21,8 @@ def first_deliveries(spark: SparkSession, path: str, to: str, state: str, latene
     verdict is known by its key and time of recording within ``lateness``; state older than that is dropped.
     """
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(path)
+    # As a pattern, a path may be a single file as well as a folder.
+    rows = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     event = F.coalesce(F.col("recorded_at"), F.col("loaded_at")).cast("timestamp")
     fresh = rows.withColumn("event_time", event).withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([*KEY, "event_time"])
     query = fresh.drop("event_time").writeStream.format("parquet").option("path", to).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -31,6 +31,17 @@ def data():
     return DATA
 
 
+def plan_is_sound(df):
+    """No cross or nested-loop join in the plan that would run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
+
+
+@pytest.fixture(scope="session")
+def sound():
+    return plan_is_sound
+
+
 @pytest.fixture(scope="session")
 def same(spark):
     """Check a query of a module against its SQL over the same tables."""
@@ -49,6 +60,7 @@ def same(spark):
 
     def check(module, name):
         df = module.QUERIES[name](spark, DATA)
+        plan_is_sound(df)
         cols = sorted(df.columns)
         got = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
         rel = con.execute(module.SQL[name])

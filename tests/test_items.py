@@ -92,7 +92,7 @@ def test_prompts(spark):
 def test_fit(spark):
     text = " ".join(f"w{i}" for i in range(1000))
     df = spark.createDataFrame([(text, 512), ("short one", 512), (text, 100), (None, 512)], "t string, w int")
-    got = [r[0] for r in df.select(prompts.fit(F.col("t"), F.col("w"), 16)).collect()]
+    got = [r[0] for r in df.select(prompts.fit(F.col("t"), prompts.words(F.col("t")), F.col("w"), 16)).collect()]
     assert got[0].startswith("w0 w1") and got[0].endswith("w998 w999") and len(got[0].replace(prompts.CUT_NOTE, " ").split()) == 368
     assert got[1] == "short one" and got[2] == text and got[3] is None
 
