@@ -8,11 +8,12 @@ CASES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
 @pytest.mark.parametrize(("module", "name"), CASES, ids=[n for _, n in CASES])
-def test_query(module, name, spark, data, same):
+def test_query(module, name, spark, data, same, sound):
     if name in module.SQL:
         same(module, name)
     else:
         df = module.QUERIES[name](spark, data)
+        sound(df)
         assert df.columns and df.count() >= 0
 
 
