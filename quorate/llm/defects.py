@@ -87,7 +87,7 @@ _HINT = re.compile(r"\b(?:can(?:'|’)?t|cannot|can not|won(?:'|’)t|will not|u
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n+")
-_VERDICT_LINE = re.compile(r"(?:final\s+)?\**\s*verdict\b[^\n]*", re.IGNORECASE)
+_VERDICT_STATED = re.compile(r"(?:final\s+)?\**\s*\bverdict\b\s*[:\-–—]?\s*\**\s*(?:hallucinat\w*|(?:un)?support\w*|not\s+sure|unsure|abstain|n/a)?\**", re.IGNORECASE)
 
 
 def _slots(template: str, lang: str) -> list[list[tuple[str, ...]]]:
@@ -208,8 +208,8 @@ def own_defect(text: str | None, terminates: bool) -> str | None:
 
 
 def reasoning_language(text: str) -> str | None:
-    """Language of the reasoning of a response: its text without verdict lines; None where that says too little."""
-    body = _VERDICT_LINE.sub(" ", text) if "erdict" in text or "ERDICT" in text else text
+    """Language of the reasoning of a response: its text without verdicts, which have no language; None where that says too little."""
+    body = _VERDICT_STATED.sub(" ", text) if "erdict" in text or "ERDICT" in text else text
     lang, lead = language(body)
     return lang if lead >= 1.5 else None
 
