@@ -7,6 +7,7 @@ no recomputation, and later joins see the real size of the table.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder; a local temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-quorate-")
-        spark.conf.set("spark.checkpoint.dir", named)
+    named = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
     return named.rstrip("/")
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"spark-quorate-{application}-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again under the same schema.
 

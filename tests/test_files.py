@@ -70,3 +70,15 @@ def test_cut_and_spread(spark):
     df = spark.createDataFrame([], "a int, b array<struct<c:string>>")
     assert cut(df).schema == df.schema and cut(df).count() == 0
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_shared_folder_is_the_sessions(spark, monkeypatch):
+    from quorate.plans import lineage
+
+    assert lineage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = spark.sparkContext
+
+    assert lineage.shared_folder(Unset) == lineage.shared_folder(Unset) and os.path.isdir(lineage.shared_folder(Unset))
