@@ -14,7 +14,7 @@ from quorate.functions import metrics
 from quorate.functions.text import point
 from quorate.operators.ranks import numbered
 from quorate.operators.verdicts import first_rows
-from quorate.plans.lineage import cut
+from quorate.plans.lineage import cut, workers
 
 
 def cluster_counts(experiment: DataFrame) -> DataFrame:
@@ -52,8 +52,10 @@ def exact_draws(spark, sizes: dict[str, int], b: int, seed: int = 0) -> DataFram
 
 def replicates(counts: DataFrame, clusters: DataFrame, weights: DataFrame) -> DataFrame:
     """kappa and balanced accuracy of every judge in every draw; a draw whose committed rows have one gold class has nulls."""
-    by_rank = counts.join(clusters.select("dataset", "row_id", "rank"), ["dataset", "row_id"])
-    summed = by_rank.join(weights, ["dataset", "rank"]).groupBy("dataset", "condition", "model", "draw").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("tp", "fn", "fp", "tn")])
+    # Few bytes make many rows here: both sides are dealt out by cluster, evenly, over all tasks.
+    n = workers(counts.sparkSession)
+    by_rank = counts.join(clusters.select("dataset", "row_id", "rank"), ["dataset", "row_id"]).repartition(n, "dataset", "rank")
+    summed = by_rank.join(weights.repartition(n, "dataset", "rank"), ["dataset", "rank"]).groupBy("dataset", "condition", "model", "draw").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("tp", "fn", "fp", "tn")])
     c = {k: F.col(k) for k in ("tp", "fn", "fp", "tn")}
     return summed.select("dataset", "condition", "model", "draw", metrics.kappa(c).alias("kappa"), metrics.balanced_committed(c).alias("balanced_accuracy"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import metrics
 from quorate.operators.verdicts import first_rows, main_condition
+from quorate.plans.lineage import workers
 
 #: Shares of agreeing votes from which a committee commits.
 TAUS = (0.5, 0.6, 0.7, 0.8, 1.0)
@@ -68,7 +69,8 @@ def frontier(experiment: DataFrame, roster: DataFrame, only: Sequence[int] | Non
     panel = members(roster)
     wanted = list(only) if only is not None else sizes(len(panel))
     items = panel_votes(experiment, panel).join(main_condition(experiment), ["dataset", "condition"])
-    patterns = items.groupBy("dataset", "voted", "ones", "gold").agg(F.count("*").alias("w"))
+    # Few bytes make many rows here, so patterns are dealt out over all tasks.
+    patterns = items.groupBy("dataset", "voted", "ones", "gold").agg(F.count("*").alias("w")).repartition(workers(experiment.sparkSession))
     mask = F.explode(F.sequence(F.lit(1), F.lit((1 << len(panel)) - 1))).alias("mask")
     each = patterns.select("*", mask).where(F.bit_count("mask").isin(*wanted))
     # Votes of a committee on a pattern: at most (k+1)(k+2)/2 outcomes, so a second grouping leaves little to score.
@@ -116,7 +118,7 @@ def agreement(experiment: DataFrame, roster: DataFrame) -> DataFrame:
 def committee_agreement(experiment: DataFrame, roster: DataFrame, k: int = 3) -> DataFrame:
     """Fleiss' kappa of every committee of ``k`` members over the items all of them judged, per dataset under its main condition."""
     panel = members(roster)
-    patterns = panel_votes(experiment, panel).join(main_condition(experiment), ["dataset", "condition"]).groupBy("dataset", "voted", "ones").count()
+    patterns = panel_votes(experiment, panel).join(main_condition(experiment), ["dataset", "condition"]).groupBy("dataset", "voted", "ones").count().repartition(workers(experiment.sparkSession))
     mask = F.explode(F.sequence(F.lit(1), F.lit((1 << len(panel)) - 1))).alias("mask")
     each = patterns.select("*", mask).where((F.bit_count("mask") == k) & (F.col("voted").bitwiseAND(F.col("mask")) == F.col("mask")))
     ones, w = F.bit_count(F.col("ones").bitwiseAND(F.col("mask"))), F.col("count")
