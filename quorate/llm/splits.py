@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.plans.lineage import cut
+from quorate.plans.lineage import cut, workers
 
 SPLITS = ("train", "validation", "test")
 
@@ -58,13 +58,13 @@ def linked_rows(records: DataFrame) -> DataFrame:
     return stars(rows.join(least, ["dataset", "uid"]).select("dataset", "u", F.col("row_id").alias("v")))
 
 
-def components(records: DataFrame) -> DataFrame:
-    """Component of each item: dataset, uid, component (string), n, ones, labelled.
+def components(records: DataFrame, roots: DataFrame) -> DataFrame:
+    """Component of each item: dataset, uid, component (string), n, ones, labelled; ``roots`` are its ``linked_rows``.
 
     A component is named by its smallest row_id.  An item without any row_id is its own component; one without uid
     follows its row_id; records with neither share one component per dataset.
     """
-    roots = linked_rows(records).withColumnRenamed("v", "row")
+    roots = roots.withColumnRenamed("v", "row")
     items = items_of(records)
     whole = items.where("uid IS NOT NULL").groupBy("dataset", "uid").agg(F.min("row_id").alias("row"), *[F.sum(c).alias(c) for c in ("n", "ones", "labelled")])
     loose = items.where("uid IS NULL").groupBy("dataset", "row_id").agg(*[F.sum(c).alias(c) for c in ("n", "ones", "labelled")]).select("dataset", F.lit(None).cast("string").alias("uid"), F.col("row_id").alias("row"), "n", "ones", "labelled")
@@ -150,7 +150,9 @@ def assign(parts: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1), seed:
     big = F.col("n") > heavy * n_all
     staged = cut(parts.select("component", "n", "ones", start.alias("start"), F.when(big, -1).otherwise(F.pmod(F.xxhash64(F.col("component")), F.lit(blocks)).cast("int")).alias("block")))
     schema = "block int, chain int, cost double, component string, n long, split int"
-    runs = lambda df: df.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(chains)]))).groupBy("block", "chain")
+    # Few bytes take long here, so chains are dealt out by number and not by size.
+    tasks = min(4 * workers(parts.sparkSession), max(blocks, 1) * chains)
+    runs = lambda df: df.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(chains)]))).repartition(tasks, "block", "chain").groupBy("block", "chain")
 
     def best(run: DataFrame) -> DataFrame:
         run = cut(run)
@@ -172,15 +174,15 @@ def split_records(records: DataFrame) -> DataFrame:
     Repeated records, records of one item and records of one source row stay together.  An empty table gives an empty one.
     """
     rec = records.select("rec_id", "dataset", "uid", "row_id", "gold")
-    comp = cut(components(rec))
+    roots = linked_rows(rec)
+    comp = cut(components(rec, roots))
     split = assign(comp.groupBy("component").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")))
     placed = cut(comp.select("dataset", "uid", "row", "component").join(split, "component"))
     out = ["rec_id", "dataset", "uid", "row_id", "component", "split"]
     known = rec.where("uid IS NOT NULL").alias("r").join(placed.where("uid IS NOT NULL").alias("p"), F.expr("r.dataset <=> p.dataset AND r.uid = p.uid"))
     loose = rec.where("uid IS NULL").alias("r")
     # Records without uid: their row may be part of a larger component under its root.
-    rows = linked_rows(rec)
-    rooted = loose.join(rows.alias("l"), F.expr("r.dataset <=> l.dataset AND r.row_id = l.v"), "left").select("r.*", F.coalesce("l.root", "r.row_id").alias("at"))
+    rooted = loose.join(roots.alias("l"), F.expr("r.dataset <=> l.dataset AND r.row_id = l.v"), "left").select("r.*", F.coalesce("l.root", "r.row_id").alias("at"))
     lone = rooted.alias("r").join(placed.where("uid IS NULL").alias("p"), F.expr("r.dataset <=> p.dataset AND r.at <=> p.row"))
     pick = ["r.rec_id", "r.dataset", "r.uid", "r.row_id", "p.component", "p.split"]
     return known.select(pick).unionByName(lone.select(pick)).select(out)
