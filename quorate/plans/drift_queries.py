@@ -30,7 +30,24 @@ QUERIES = {"p1_found": p1_found, "p1_alternatives": p1_alternatives, "p1_records
 _FIELDS = ("row_id", "kind", "gold", "stratum", "category", "src_sha1")
 _SIDE = "SELECT DISTINCT trim(uid) AS uid, row_id, kind, gold, stratum, category, lower(src_sha1) AS src_sha1 FROM {}"
 
+_LINES = (
+    "v AS (SELECT stream, file_seq, file_id, written_at, payload FROM shard_lines WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'), "
+    "f AS (SELECT v.stream, v.file_seq, v.file_id, v.written_at, json_extract_string(v.payload, '$.uid') AS uid, e.key AS name, "
+    "CASE WHEN e.type = 'VARCHAR' THEN 'string' WHEN e.type IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN 'integer' WHEN e.type = 'DOUBLE' THEN 'decimal' WHEN e.type = 'NULL' THEN NULL ELSE lower(e.type) END AS tag, "
+    "CASE WHEN e.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN (e.value::DOUBLE)::VARCHAR ELSE e.value::VARCHAR END AS value FROM v, json_each(v.payload) AS e)"
+)
+
 SQL = {
+    "p1_alternatives": f"WITH {_LINES} SELECT name, tag, count(DISTINCT file_id) AS n_files, count(*) AS n_lines, first(file_id ORDER BY written_at, file_id) AS first_file_id FROM f WHERE tag IS NOT NULL GROUP BY name, tag",
+    "p1_found": f"WITH {_LINES}, p AS (SELECT file_id, name, list_sort(coalesce(list(DISTINCT tag) FILTER (WHERE tag IS NOT NULL), [])) AS tags FROM f GROUP BY ALL), "
+    "s AS (SELECT DISTINCT stream, file_seq, file_id FROM shard_lines), n AS (SELECT a.file_id AS e, b.file_id AS l FROM s a JOIN s b ON a.stream = b.stream AND b.file_seq = a.file_seq + 1), "
+    "o AS (SELECT e, l, name, tags FROM n JOIN p ON p.file_id = n.e), w AS (SELECT e, l, name, tags FROM n JOIN p ON p.file_id = n.l), "
+    "x AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.l = o.l AND w.name = o.name)), y AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.l = w.l AND o.name = w.name)), "
+    "r AS (SELECT x.l, x.name AS a, y.name AS b FROM x JOIN y ON x.l = y.l JOIN f AS fa ON fa.file_id = x.e AND fa.name = x.name JOIN f AS fb ON fb.file_id = y.l AND fb.name = y.name AND fa.uid = fb.uid GROUP BY ALL HAVING bool_and(fa.value IS NOT DISTINCT FROM fb.value)) "
+    "SELECT l AS file_id, a AS old_field, b AS new_field, 'renamed' AS change_kind FROM r "
+    "UNION ALL SELECT l, name, '', 'removed' FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.l = x.l AND r.a = x.name) "
+    "UNION ALL SELECT l, '', name, 'added' FROM y WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.l = y.l AND r.b = y.name) "
+    "UNION ALL SELECT o.l, o.name, o.name, 'retyped' FROM o JOIN w ON o.l = w.l AND o.name = w.name WHERE len(o.tags) > 0 AND len(w.tags) > 0 AND o.tags <> w.tags",
     "p7_found": f"WITH a AS ({_SIDE.format('aggrefact_cnn')}), b AS ({_SIDE.format('aggrefact_cnn_copy')}) "
     "SELECT uid, 'missing_in_copy' AS field_name FROM a WHERE uid NOT IN (SELECT uid FROM b) "
     "UNION SELECT uid, 'missing_in_index' FROM b WHERE uid NOT IN (SELECT uid FROM a) "
