@@ -39,6 +39,11 @@ _REMARK = re.compile(
     r"|lecteur|lector|leser|inventad[ao]|inventée?|erfunden)\b|\bverdict\b",
     re.IGNORECASE,
 )
+#: Every remark has one of these words; a cheap test before the pattern.
+_REMARK_WORDS = frozenset(
+    "claim answer candidate passage source question document evidence reader made such wording behauptung antwort quelle kandidat text texte réponse fuente respuesta afirmación "
+    "affirmation texto lecteur lector leser inventado inventada inventé inventée erfunden verdict".split()
+)
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 
@@ -48,31 +53,36 @@ def term(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))[:STEM]
 
 
+class _Terms(dict):
+    """Terms of words met so far."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = term(word)
+        return found
+
+
 def tokenised(documents: DataFrame) -> DataFrame:
     """doc_id, lang (index), feats (terms of all sentences that may bear a subject, each once a sentence) and lens (terms per sentence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, list]] = {}
+        known = _Terms()
         for batch in batches:
             langs, feats, lens = [], [], []
             for text in batch.column(1).to_pylist():
-                score = dict.fromkeys(LANGUAGES, 0.0)
-                mine, sizes = [], []
+                told, mine, sizes = [], [], []
                 for sentence in _SENTENCE.split(text or ""):
                     words = _WORD.findall(sentence.lower())
-                    found = set()
-                    for w in words:
-                        hit = known.get(w)
-                        if hit is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            hit = known[w] = (term(w), _LANGUAGE_OF.get(w, []))
-                        found.add(hit[0])
-                        for lang, weight in hit[1]:
-                            score[lang] += weight
-                    if found and not _REMARK.search(sentence):
+                    told += filter(_LANGUAGE_OF.__contains__, words)
+                    if words and (_REMARK_WORDS.isdisjoint(words) or not _REMARK.search(sentence)):
+                        found = set(map(known.__getitem__, words))
                         mine += sorted(found)
                         sizes.append(len(found))
+                score = dict.fromkeys(LANGUAGES, 0.0)
+                for w in told:
+                    for lang, weight in _LANGUAGE_OF[w]:
+                        score[lang] += weight
                 langs.append(max(range(len(LANGUAGES)), key=lambda i: score[LANGUAGES[i]]))
                 feats.append(mine)
                 lens.append(sizes)
