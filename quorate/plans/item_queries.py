@@ -113,7 +113,7 @@ def fewshot_block(spark: SparkSession, d: str) -> DataFrame:
     claim = prompts.frame(F.col("dataset")) == "claimcheck"
     answer = F.when(F.col("gold") == 0, "Yes").otherwise("No")
     label = F.coalesce("context_label", F.lit(""))
-    return _with_task(spark, d).select("inst_id", prompts.fewshot_block(*args, label, claim, 60, answer).alias("exemplar"), prompts.fewshot_block(*args, label, claim, prompts.QUERY_CHARS).alias("query"))
+    return _with_task(spark, d).select("inst_id", prompts.fewshot_block(*args, label, claim, prompts.EXEMPLAR_CHARS, answer).alias("exemplar"), prompts.fewshot_block(*args, label, claim, prompts.QUERY_CHARS).alias("query"))
 
 
 def specialist_pair(spark: SparkSession, d: str) -> DataFrame:
