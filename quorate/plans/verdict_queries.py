@@ -10,6 +10,7 @@ from quorate.operators import bootstrap, committee, compare, cost, scorer, verdi
 from quorate.plans.lineage import spread
 from quorate.sources.tables import table
 
+#: Draws of the registered SQL of bootstrap_ci; the query has those of the reference.
 DRAWS = 200
 
 
@@ -72,11 +73,11 @@ def probe_by_condition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_draws(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.draws(bootstrap.ranked_clusters(bootstrap.cluster_counts(_exp(spark, d))), 20)
+    return bootstrap.draws(bootstrap.ranked_clusters(bootstrap.cluster_counts(_exp(spark, d))))
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.bootstrap(_exp(spark, d), DRAWS)
+    return bootstrap.bootstrap(_exp(spark, d))
 
 
 def run_compare(spark: SparkSession, d: str) -> DataFrame:

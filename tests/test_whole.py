@@ -3,8 +3,14 @@
 import re
 from types import SimpleNamespace
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quorate.functions import prompts
-from quorate.plans import item_queries
+from quorate.functions.digests import points
+from quorate.functions.text import point
+from quorate.operators import bootstrap
+from quorate.plans import item_queries, verdict_queries
 
 
 def test_exemplars_keep_their_context(spark, tmp_path):
@@ -23,3 +29,32 @@ def test_exemplars_keep_their_context(spark, tmp_path):
 def test_fewshot_block_against_sql_at_the_whole_cap(same):
     sql = re.sub(r"(?<!\d)60(?!\d)", str(prompts.EXEMPLAR_CHARS), item_queries.SQL["fewshot_block"])
     same(SimpleNamespace(QUERIES=item_queries.QUERIES, SQL={"fewshot_block": sql}), "fewshot_block")
+
+
+def test_bootstrap_against_sql_at_all_draws(same):
+    """Both queries at B = 2000; the smaller draw tables of the registered SQL are the first rows of the same draws."""
+    sql = {n: re.sub(r"range\((20|200)\) AS b", "range(2000) AS b", verdict_queries.SQL[n]) for n in ("bootstrap_ci", "bootstrap_draws")}
+    for name in sql:
+        assert "range(2000)" in sql[name]
+        same(SimpleNamespace(QUERIES=verdict_queries.QUERIES, SQL=sql), name)
+
+
+def test_default_draws(spark):
+    clusters = spark.createDataFrame([("d", i, i, 3) for i in range(3)], "dataset string, row_id long, rank long, size long")
+    assert bootstrap.draws(clusters).select("draw").distinct().count() == bootstrap.DRAWS == 2000
+
+
+def test_packed_replicates_equal_rows(spark, monkeypatch):
+    """Several blocks of clusters, one of them without any row of a judge."""
+    monkeypatch.setattr(bootstrap, "BLOCK", 5)
+    rows = [("d", "x", m, i, i % 3, 1, i % 2, 2) for m in "ab" for i in range(13) if m == "a" or i < 4]
+    counts = spark.createDataFrame(rows, "dataset string, condition string, model string, row_id long, tp long, fn long, fp long, tn long")
+    clusters = bootstrap.ranked_clusters(counts)
+    got, want = (sorted(map(tuple, r.where("kappa IS NOT NULL").collect())) for r in (bootstrap.hashed_replicates(counts, clusters, 40), bootstrap.replicates(counts, clusters, bootstrap.draws(clusters, 40))))
+    assert got == want and len(got) > 40
+
+
+def test_points(spark):
+    for prefix, n in (("0|d|1", 1205), ("0|ß漢|7", 12), ("0|" + "y" * 60, 11)):
+        want = [r[0] for r in spark.range(n).orderBy("id").select(point(prefix, F.col("id"))).collect()]
+        assert np.concatenate(list(points(prefix, n, 100))).tolist() == want
