@@ -20,6 +20,19 @@ def recorded_arms(lines: DataFrame, names: tuple[str, ...] = ("condition", "cond
     return json_objects(lines).groupBy("stream", "file_id").agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set(label)).alias("recorded"))
 
 
+def shard_schema(lines: DataFrame, key: str = "src_key") -> DataFrame:
+    """Per file: its rows, how many carry ``key`` (a null value counts), ``with``, ``without`` or ``mixed``, and whether all files of its stream are alike and unmixed.
+
+    Every complete JSON object is looked at.  A file or stream that is not pure must not be assembled.
+    """
+    has = F.try_variant_get("object", f"$.{key}", "variant").isNotNull().alias("has")
+    rows = json_objects(lines).select("stream", "file_id", has)
+    files = rows.groupBy("stream", "file_id").agg(F.count("*").alias("n_rows"), F.count_if("has").alias("n_with"), F.bool_and("has").alias("every"), F.bool_or("has").alias("some"))
+    streams = files.groupBy("stream").agg((F.bool_and("every") | ~F.bool_or("some")).alias("stream_pure"))
+    state = F.when(F.col("every"), "with").when(F.col("some"), "mixed").otherwise("without")
+    return files.select("stream", "file_id", "n_rows", "n_with", state.alias("state")).join(streams, "stream")
+
+
 def decide(recorded: Column, expected: Column, kind: Column, skip_on_match: Column, force: Column) -> Column:
     """``run``, ``skip`` or ``refuse``.
 

@@ -116,6 +116,24 @@ def fewshot_block(spark: SparkSession, d: str) -> DataFrame:
     return _with_task(spark, d).select("inst_id", prompts.fewshot_block(*args, label, claim, prompts.EXEMPLAR_CHARS, answer).alias("exemplar"), prompts.fewshot_block(*args, label, claim, prompts.QUERY_CHARS).alias("query"))
 
 
+def fewshot_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Whole few-shot prompts of the items whose source row gave no exemplar."""
+    args = [F.col(c) for c in ("question", "context", "candidate", "has_context")]
+    claim, label = prompts.frame(F.col("dataset")) == "claimcheck", F.coalesce("context_label", F.lit(""))
+    answer = F.when(F.col("gold") == 0, "Yes").otherwise("No")
+    items, chosen = _with_task(spark, d), builders.exemplars(_items(spark, d))
+    shots = builders.exemplar_blocks(items.withColumn("block", prompts.fewshot_block(*args, label, claim, prompts.EXEMPLAR_CHARS, answer)), chosen)
+    query = prompts.fewshot_block(*args, label, claim, prompts.QUERY_CHARS)
+    rows = builders.without_exemplars(items, chosen).join(F.broadcast(shots), "dataset", "left")  # one row per set
+    return rows.select("inst_id", prompts.fewshot_prompt(F.col("shots"), query).alias("prompt"))
+
+
+def native_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of the three graded judges in both frames."""
+    args = [F.col(c) for c in ("question", "context", "candidate", "has_context")]
+    return _with_task(spark, d).select("inst_id", *[build(*args, claim).alias(f"{judge}_{frame}") for judge, build in prompts.NATIVE.items() for frame, claim in (("qa", False), ("claimcheck", True))])
+
+
 def specialist_pair(spark: SparkSession, d: str) -> DataFrame:
     from quorate.functions.text import strip
 
@@ -155,6 +173,10 @@ def guard_decisions(spark: SparkSession, d: str) -> DataFrame:
     return arms.select("file_id", "n_rows", F.array_join("recorded", ",").alias("recorded"), guard.relation(F.col("recorded"), expected).alias("relation"), guard.decide(F.col("recorded"), expected, kind, kind != "panel", F.col("file_id") % 7 == 0).alias("decision"))
 
 
+def shard_schema(spark: SparkSession, d: str) -> DataFrame:
+    return guard.shard_schema(table(spark, d, "shard_lines").select("stream", "file_id", "payload"))
+
+
 def run_signature(spark: SparkSession, d: str) -> DataFrame:
     models = [r["model"] for r in table(spark, d, "panel_roster").orderBy("panel_idx").collect()]  # the fixed roster
     return release.run_signature(_items(spark, d), ["def_on brief_reason p0"], models, 4096)
@@ -178,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_rows, best_or_first, first_per_group_pairs, nested_facts, balanced_subsample, exemplar_exclusion, content_keys, index_manifest, join_drift, verdict_drift, keyed_verdicts,
-        prompt_render_qa, prompt_render_claim, fewshot_block, specialist_pair, fit_prompt, file_digests, release_digest, lock_check, guard_decisions, run_signature, mock_run, votes_export,
+        prompt_render_qa, prompt_render_claim, fewshot_block, fewshot_prompt, native_prompts, specialist_pair, fit_prompt, file_digests, release_digest, lock_check, guard_decisions, shard_schema, run_signature, mock_run, votes_export,
     )
 }
 

@@ -114,6 +114,17 @@ def exemplars(items: DataFrame, k: int = 6, seed: int = 0) -> DataFrame:
     return some.select("dataset", "uid", "row_id", "gold", "at")
 
 
+def exemplar_blocks(items: DataFrame, chosen: DataFrame, seed: int = 0) -> DataFrame:
+    """Per dataset the ``block`` of each exemplar of ``exemplars``, in a drawn order that mixes the classes: dataset, shots.
+
+    ``items`` have inst_id, dataset, uid, gold and block; of items with one uid and class the first counts.
+    """
+    drawn = items.join(F.broadcast(chosen.select("dataset", "uid", "gold", "at")), ["dataset", "uid", "gold"])  # k rows per dataset
+    each = drawn.groupBy("dataset", "uid", "gold", "at").agg(F.min_by("block", "inst_id").alias("block"))
+    order = F.struct(point("shots", F.lit(seed), F.col("dataset"), F.col("uid")).alias("draw"), "uid", "gold", "at", "block")
+    return each.groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["block"]).alias("shots"))
+
+
 def without_exemplars(items: DataFrame, chosen: DataFrame) -> DataFrame:
     """Items whose source row gave no exemplar; items without row_id stay."""
     return items.join(chosen.select("dataset", "row_id").distinct(), ["dataset", "row_id"], "left_anti")
