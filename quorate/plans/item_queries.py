@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quorate.functions import prompts
 from quorate.functions.text import content_key
 from quorate.operators import compare, guard, panel, release
-from quorate.plans.lineage import shared_folder, spread
+from quorate.plans.lineage import cut, shared_folder, spread
 from quorate.sinks import files
 from quorate.sources import builders
 from quorate.sources.tables import table
@@ -158,11 +158,15 @@ def release_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lock_check(spark: SparkSession, d: str) -> DataFrame:
-    """The files as written up to a day against all files without those whose number 7 divides: some missing, some new, some changed."""
+    """Each file of a stream against its predecessor: the lock has every file under the number of the next one.
+
+    A stream's first file is unlocked, and what follows its last one is missing.
+    """
     lines = table(spark, d, "shard_lines")
-    of = lambda x: release.file_digests(x, 10).select(F.col("file_id").cast("string").alias("path"), "sha256")
-    lock = of(lines.where("written_at < '2025-10-01'"))
-    return release.lock_check(lock, of(lines.where("file_id % 7 <> 0 AND (line_no > 1 OR file_id % 5 <> 0)")))
+    names = lines.select("file_id", "stream", "file_seq").distinct()
+    files = cut(release.file_digests(lines, 10).join(names, "file_id").select("stream", "file_seq", "sha256"))
+    of = lambda seq: files.select(F.concat("stream", F.lit("/"), seq.cast("string")).alias("path"), "sha256")
+    return release.lock_check(of(F.col("file_seq") + 1), of(F.col("file_seq")))
 
 
 def guard_decisions(spark: SparkSession, d: str) -> DataFrame:

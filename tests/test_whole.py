@@ -97,3 +97,11 @@ def test_native_prompts(spark):
     assert texts["prometheus2"].endswith("###Feedback: [/INST]") and "###Response to evaluate:\na\n" in texts["prometheus2"] and "[RESULT]" in texts["prometheus2"]
     assert texts["judgelm"].endswith("\n\nScore:") and "[The Start of Assistant's Answer]\na\n[The End" in texts["judgelm"] and "[The Start of Reference Answer]\nc1\nc2\n[The End of Reference Answer]" in texts["judgelm"]
     assert texts["autoj"].startswith("[INST] ") and "[Response]: a\n***" in texts["autoj"] and "[[rating]]" in texts["autoj"]
+
+
+def test_lock_check_compares_every_file(spark, tmp_path):
+    """File 7 and first lines count; of stream s, file 2 equals its predecessor and file 3 differs in its first line."""
+    lines = [("s", 1, 5, 1, "a"), ("s", 1, 5, 2, "b"), ("s", 2, 7, 1, "a"), ("s", 2, 7, 2, "b"), ("s", 3, 10, 1, "x"), ("s", 3, 10, 2, "b"), ("t", 1, 14, 1, "a")]
+    spark.createDataFrame(lines, "stream string, file_seq int, file_id long, line_no int, payload string").withColumn("written_at", F.lit("2026-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/shard_lines.parquet")
+    got = sorted(map(tuple, item_queries.lock_check(spark, str(tmp_path)).select("path", "state").collect()))
+    assert got == [("s/1", "unlocked"), ("s/3", "changed"), ("s/4", "missing"), ("t/1", "unlocked"), ("t/2", "missing")]
