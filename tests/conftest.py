@@ -49,17 +49,20 @@ def same(spark):
 
     import duckdb
 
-    con = duckdb.connect()
-    for p in sorted(Path(DATA).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    def tables(folder):
+        con = duckdb.connect()
+        for p in sorted(Path(folder).glob("*.parquet")):
+            con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+        return con
 
     def plain(v):
         if isinstance(v, float):
             return None if math.isnan(v) else float(f"{v:.9g}")
         return int(v) if isinstance(v, bool) else v
 
-    def check(module, name):
-        df = module.QUERIES[name](spark, DATA)
+    def check(module, name, folder=DATA):
+        con = tables(folder)
+        df = module.QUERIES[name](spark, folder)
         plan_is_sound(df)
         cols = sorted(df.columns)
         got = [tuple(plain(r[c]) for c in cols) for r in df.collect()]

@@ -85,17 +85,57 @@ def test_against_brute_force(spark):
     assert found(spark, *files) == want
 
 
+RENAMES = "file_id long, old_field string, new_field string, change_kind string"
+
+
+def unified(spark, t, *renames):
+    return drift.unified_records(t, spark.createDataFrame([(2, a, b, "renamed") for a, b in renames], RENAMES))
+
+
 def test_unified_records(spark):
-    a = [{"uid": "1", "gold": 1, "src_key": "ab"}, {"uid": "2", "gold": 0, "src_key": "cd"}, *({"uid": u, "gold": 0, "src_key": "cd"} for u in "789")]
-    b = [{"uid": "1", "gold": True, "srcKey": "ab"}, {"uid": "2", "gold": "0", "srcKey": ["cd"]}, {"uid": "3", "gold": 1.0, "srcKey": {"hex": "ef"}}, {"uid": "4", "gold": "no", "srcKey": 5}]
-    t = lines(spark, a, b)
-    t = t.withColumn("extra", F.lit("e"))
-    renames = spark.createDataFrame([(2, "src_key", "srcKey", "renamed")], "file_id long, old_field string, new_field string, change_kind string")
-    got = {(r.file_id, r.uid): r for r in drift.unified_records(t, renames).collect()}
-    assert [got[2, u].gold for u in "1234"] == [1, 0, 1, None] and got[2, "4"].gold_alt == '"no"'
-    assert [got[2, u].src_key for u in "123"] == ["ab", "cd", "ef"] and got[1, "1"].src_key == "ab" and got[1, "1"].extra == "e"
+    a = [{"uid": "1", "gold": 1, "src_key": "ab"}, {"uid": "2", "gold": 0, "src_key": "cd"}, *({"uid": u, "gold": 0, "src_key": "cd"} for u in "6789")]
+    b = [{"uid": "1", "gold": True, "srcKey": "ab"}, {"uid": "2", "gold": "0", "srcKey": ["cd"]}, {"uid": "3", "gold": 1.0, "srcKey": {"alg": "x", "hex": "ef"}}, {"uid": "4", "gold": "no", "srcKey": 5}, {"uid": "5", "gold": 0, "srcKey": {"alg": "x", "hex": "gh"}}]
+    t = lines(spark, a, b).withColumn("extra", F.lit("e"))
+    got = {(r.file_id, r.uid): r for r in unified(spark, t, ("src_key", "srcKey")).collect()}
+    assert [got[2, u].gold for u in "1234"] == [1, 0, 1, None] and [got[2, u].gold_string for u in "1234"] == [None, "0", None, "no"]
+    assert got[2, "1"].gold_boolean is True and got[2, "3"].gold_decimal == 1.0 and got[1, "1"].gold_string is None
+    assert [got[2, u].src_key for u in "12345"] == ["ab", "cd", "ef", "5", "gh"] and got[1, "1"].src_key == "ab" and got[1, "1"].extra == "e"
+    assert got[2, "2"].src_key_array == '["cd"]' and got[2, "3"].src_key_object == '{"alg":"x","hex":"ef"}' and got[2, "4"].src_key_integer == 5
     with pytest.raises(ValueError):
-        drift.unified_records(t, renames, max_fields=0)
+        drift.unified_records(t, spark.createDataFrame([], RENAMES), max_fields=0)
+
+
+def test_no_value_is_lost_where_linked_names_meet(spark):
+    t = lines(spark, [{"uid": "1", "cond": "a"}, {"uid": "2", "condition": "a"}, {"uid": "3", "condition": "b"}], [{"cond": "old", "condition": "new"}, {"cond": "same", "condition": "same"}, {"cond": "x", "condition": None}])
+    got = unified(spark, t, ("cond", "condition")).where("file_id = 2").orderBy("line_no").collect()
+    assert [r.condition for r in got] == ["new", "same", "x"] and [r.condition_others for r in got] == [{"cond": '"old"'}, None, None]
+    assert "cond" not in got[0].asDict()
+
+
+def test_one_column_per_field(spark):
+    """Letter case and signs, a rename, and a rename together with a new type, which only the values of items show."""
+    keys = [f"k{i}" for i in range(6)]
+    first = [{"uid": str(i), "src_key": k, "pred": i % 2} for i, k in enumerate(keys)]
+    streams = [first + [{"uid": "z", "src_key": "q"}], [{"uid": str(i), "SRC_KEY": k} for i, k in enumerate(keys)], [{"uid": str(i), "digest": [k], "vote": i % 2} for i, k in enumerate(keys)]]
+    t = lines(spark, streams[0], stream="d/a").unionByName(lines(spark, streams[1], stream="d/b")).unionByName(lines(spark, streams[2], stream="d/c"))
+    out = unified(spark, t)
+    assert {"src_key", "src_key_array", "pred", "vote"} <= set(out.columns) and not {"SRC_KEY", "digest"} & set(out.columns)
+    assert {(r.stream, r.uid, r.src_key) for r in out.where("uid <> 'z'").collect()} == {(s, str(i), k) for s in ("d/a", "d/b", "d/c") for i, k in enumerate(keys)}
+
+
+def test_changes_inside_fields(spark):
+    a, b = [{"uid": "1", "m": {"x": 1, "z": 1}, "l": [1], "n": 1}], [{"uid": "1", "m": {"x": "1", "y": 2}, "l": ["a", {"q": [True]}], "o": {"p": 1}}]
+    t = lines(spark, a, b)
+    assert {tuple(r) for r in drift.path_changes(t).collect()} == {(2, "m.x", "retyped"), (2, "m.y", "added"), (2, "m.z", "removed"), (2, "l[]", "retyped"), (2, "l[].q", "added"), (2, "l[].q[]", "added")}
+    got = {(r.path, r.tag): (r.n_files, r.n_values, r.first_file_id) for r in drift.path_alternatives(t).collect()}
+    assert got["m", "object"] == (2, 2, 1) and got["l[]", "integer"] == (1, 1, 1) and got["l[].q[]", "boolean"] == (1, 1, 2)
+    assert drift.path_changes(table(spark, [])).count() == 0 and drift.path_alternatives(table(spark, [])).count() == 0
+
+
+def test_one_complete_object_per_line(spark):
+    texts = ['{"a":1}', ' {"a":1} ', '{"a":1} {"b":2}', '{"a":1},{"b":2}', '{"a":1}]', '{"a":1}],"y":[{"b":2}', '{"a":1},0] x', '{"a":1', "[1]", "7", "", None, '{"a":1,"a":2}']
+    got = drift.json_objects(spark.createDataFrame(list(enumerate(texts)), "i int, payload string")).select("i").collect()
+    assert sorted(r.i for r in got) == [0, 1]
 
 
 INDEX = "uid string, row_id long, kind string, gold int, stratum string, category string, src_sha1 string"
