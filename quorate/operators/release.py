@@ -23,15 +23,18 @@ def index_manifest(items: DataFrame) -> DataFrame:
 def file_digests(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """sha256, bytes and records of each file from its numbered lines (file_id, line_no, payload).
 
-    The digest of a file is taken over the digests of its chunks of ``chunk`` lines in order, each over its lines'
-    number and text; so no task holds more than a chunk or a file's list of digests.  Null lines count as empty.
+    The digest of a file is the root of a tree: over the digests of its blocks of ``chunk`` chunks in order, each over
+    those of its chunks of ``chunk`` lines, each over its lines' number and text; so no task holds more than ``chunk``
+    lines, or a file's list of blocks, whatever the file's size.  Null lines count as empty.
     """
     text = F.coalesce("payload", F.lit(""))
-    each = lines.select("file_id", F.floor(F.col("line_no") / chunk).alias("chunk"), "line_no", text.alias("payload"), F.octet_length(text).alias("size"))
-    part = F.concat(F.col("l.line_no").cast("string"), F.lit(" "), F.col("l.payload"), F.lit("\n"))
-    hashed = each.select("file_id", "chunk", "size", F.struct("line_no", "payload").alias("l")).withColumn("d", F.sha2(F.encode(part, "UTF-8"), 256))
-    chunks = hashed.groupBy("file_id", "chunk").agg(_chain("l.line_no", "d"), F.sum("size").alias("size"), F.count("*").alias("n"))
-    return chunks.groupBy("file_id").agg(_chain("chunk", "digest").alias("sha256"), (F.sum("size") + F.sum("n")).alias("bytes"), F.sum("n").alias("records"))
+    each = lines.select("file_id", "line_no", text.alias("payload"))
+    part = F.concat(F.col("line_no").cast("string"), F.lit(" "), F.col("payload"), F.lit("\n"))
+    level = each.select("file_id", F.col("line_no").cast("bigint").alias("at"), F.sha2(F.encode(part, "UTF-8"), 256).alias("digest"), (F.octet_length("payload") + 1).cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("records"))
+    sums = [F.sum(c).alias(c) for c in ("bytes", "records")]
+    for _ in range(2):
+        level = level.groupBy("file_id", F.floor(F.col("at") / chunk).alias("to")).agg(_chain("at", "digest"), *sums).withColumnRenamed("to", "at")
+    return level.groupBy("file_id").agg(_chain("at", "digest").alias("sha256"), *sums)
 
 
 def _chain(order: str, digest: str) -> Column:
@@ -40,13 +43,14 @@ def _chain(order: str, digest: str) -> Column:
 
 
 def tree_digest(lines: DataFrame, scope: list[str], line: str, name: str = "digest") -> DataFrame:
-    """Digest of the set of lines of each scope, whatever their order and number.
+    """Digest of the lines of each scope, whatever their order.
 
-    Lines are put together by the first six, then the first three digits of their own digests, so that no task holds
-    more than a sixteen-millionth of them.  Repeated lines count each time.
+    Equal lines are counted first and enter with their count.  They are put together by the first six, then the first
+    three digits of their own digests, so that no task holds more than a sixteen-millionth of them.
     """
     whole = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "\n"), 256)
-    hashed = lines.select(*scope, line, F.sha2(line, 256).alias("_h"))
+    counted = lines.groupBy(*scope, line).agg(F.count("*").alias("_n")).select(*scope, F.concat(line, F.lit(" x"), "_n").alias(line))
+    hashed = counted.select(*scope, line, F.sha2(line, 256).alias("_h"))
     for digits in (6, 3):
         hashed = hashed.groupBy(*scope, F.substring("_h", 1, digits).alias("_b")).agg(whole(F.col(line)).alias("_d")).select(*scope, F.concat("_b", "_d").alias(line), F.col("_b").alias("_h"))
     return hashed.groupBy(*scope).agg(whole(F.col(line)).alias(name))

@@ -149,12 +149,12 @@ def fit_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, d: str) -> DataFrame:
-    return release.file_digests(table(spark, d, "shard_lines"), 10)
+    return release.file_digests(table(spark, d, "shard_lines"))
 
 
 def release_digest(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "shard_lines")
-    return release.release_digest(release.file_digests(lines, 10), F.lpad(F.col("file_id").cast("string"), 12, "0"))
+    return release.release_digest(release.file_digests(lines), F.lpad(F.col("file_id").cast("string"), 12, "0"))
 
 
 def lock_check(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ def lock_check(spark: SparkSession, d: str) -> DataFrame:
     """
     lines = table(spark, d, "shard_lines")
     names = lines.select("file_id", "stream", "file_seq").distinct()
-    files = cut(release.file_digests(lines, 10).join(names, "file_id").select("stream", "file_seq", "sha256"))
+    files = cut(release.file_digests(lines).join(names, "file_id").select("stream", "file_seq", "sha256"))
     of = lambda seq: files.select(F.concat("stream", F.lit("/"), seq.cast("string")).alias("path"), "sha256")
     return release.lock_check(of(F.col("file_seq") + 1), of(F.col("file_seq")))
 
@@ -235,9 +235,10 @@ def _pairs(src: str, row: str, stratum: str, categories: tuple[str, str]) -> str
 
 
 _DIGEST = (
-    "h AS (SELECT file_id, line_no // 10 AS chunk, line_no, coalesce(payload, '') AS p, sha256(line_no || ' ' || coalesce(payload, '') || chr(10)) AS d FROM {}), "
-    "c AS (SELECT file_id, chunk, sha256(string_agg(d, chr(10) ORDER BY line_no, d)) AS d, sum(strlen(p))::BIGINT AS size, count(*) AS n FROM h GROUP BY ALL), "
-    "f AS (SELECT file_id, sha256(string_agg(d, chr(10) ORDER BY chunk)) AS sha256, (sum(size) + sum(n))::BIGINT AS bytes, sum(n)::BIGINT AS records FROM c GROUP BY file_id)"
+    "h AS (SELECT file_id, line_no // 1000 AS chunk, line_no, coalesce(payload, '') AS p, sha256(line_no || ' ' || coalesce(payload, '') || chr(10)) AS d FROM {}), "
+    "c AS (SELECT file_id, chunk, sha256(string_agg(d, chr(10) ORDER BY line_no, d)) AS d, sum(strlen(p) + 1)::BIGINT AS size, count(*) AS n FROM h GROUP BY ALL), "
+    "b AS (SELECT file_id, chunk // 1000 AS block, sha256(string_agg(d, chr(10) ORDER BY chunk)) AS d, sum(size)::BIGINT AS size, sum(n)::BIGINT AS n FROM c GROUP BY ALL), "
+    "f AS (SELECT file_id, sha256(string_agg(d, chr(10) ORDER BY block)) AS sha256, sum(size)::BIGINT AS bytes, sum(n)::BIGINT AS records FROM b GROUP BY file_id)"
 )
 _FIELDS = ("row_id", "kind", "gold", "stratum", "category", "src_sha1")
 
@@ -246,7 +247,8 @@ def _tree(scope: str) -> str:
     """Digest of the lines ``x.line`` of each scope, by way of their digests' first six and three digits."""
     whole = "sha256(string_agg(line, chr(10) ORDER BY line))"
     return (
-        f"t6 AS (SELECT {scope}, substr(sha256(line), 1, 6) AS b, substr(sha256(line), 1, 6) || {whole} AS line FROM x GROUP BY {scope}, substr(sha256(line), 1, 6)), "
+        f"y AS (SELECT {scope}, line || ' x' || count(*) AS line FROM x GROUP BY {scope}, line), "
+        f"t6 AS (SELECT {scope}, substr(sha256(line), 1, 6) AS b, substr(sha256(line), 1, 6) || {whole} AS line FROM y GROUP BY {scope}, substr(sha256(line), 1, 6)), "
         f"t3 AS (SELECT {scope}, substr(b, 1, 3) AS b, substr(b, 1, 3) || {whole} AS line FROM t6 GROUP BY {scope}, substr(b, 1, 3)), t0 AS (SELECT {scope}, {whole} AS digest FROM t3 GROUP BY {scope})"
     )
 
@@ -294,15 +296,16 @@ SQL = {
     f"SELECT inst_id, '{prompts.CLAIM_INTRO}\n\n{prompts.REASON}\nVERDICT: <{prompts.OPTIONS}>\n\n# Document\n' || CASE WHEN len(parts) > 0 THEN array_to_string(parts, '\n') ELSE '{prompts.NO_DOCUMENT}' END || '\n\n# Claim\n' || claim || '\n' AS prompt FROM x",
     "fewshot_block": f"WITH x AS (SELECT *, array_to_string({_FILLED}, '\n') AS body, has_context AND {_ENTRIES} AS shown, question <> '' AND NOT (starts_with(dataset, 'aggrefact_') AND {_strip('question')} = {_strip('candidate')}) AS asked {_TASK}), "
     "y AS (SELECT inst_id, gold, CASE WHEN asked THEN 'Question: ' || question || '\n' ELSE '' END || 'Claim: ' || candidate || '\nAnswer:' AS rest, "
-    + ", ".join(f"CASE WHEN shown THEN coalesce(context_label, '') || ': ' || CASE WHEN length(body) > {n} THEN left(body, {n}) || ' ...' ELSE body END || '\n' ELSE '' END AS b{n}" for n in (60, prompts.QUERY_CHARS))
-    + f" FROM x) SELECT inst_id, b60 || rest || ' ' || CASE WHEN gold = 0 THEN 'Yes' ELSE 'No' END AS exemplar, b{prompts.QUERY_CHARS} || rest AS query FROM y",
+    + ", ".join(f"CASE WHEN shown THEN coalesce(context_label, '') || ': ' || CASE WHEN length(body) > {n} THEN left(body, {n}) || ' ...' ELSE body END || '\n' ELSE '' END AS b{n}" for n in (prompts.EXEMPLAR_CHARS, prompts.QUERY_CHARS))
+    + f" FROM x) SELECT inst_id, b{prompts.EXEMPLAR_CHARS} || rest || ' ' || CASE WHEN gold = 0 THEN 'Yes' ELSE 'No' END AS exemplar, b{prompts.QUERY_CHARS} || rest AS query FROM y",
     "specialist_pair": f"SELECT inst_id, CASE WHEN dataset IN ('medhallu', 'ragtruth') THEN {_strip('question')} || '\n\n' ELSE '' END || array_to_string({_FILLED}, '\n') AS document, {_strip('candidate')} AS claim FROM instances",
     "fit_prompt": rf"WITH x AS (SELECT doc_id, judge, text, string_split_regex({_strip('text')}, '\s+') AS w, window_tokens - 16 - {prompts.MARGIN} AS b FROM documents, judge_windows WHERE text IS NOT NULL) "
     f"SELECT doc_id, judge, md5(CASE WHEN b > 0 AND len(w) > b THEN array_to_string(w[1:b // 2], ' ') || '{prompts.CUT_NOTE}' || array_to_string(w[len(w) - (b - b // 2) + 1:], ' ') ELSE text END) AS fitted FROM x",
     "file_digests": "WITH " + _DIGEST.format("shard_lines") + " SELECT * FROM f",
     "release_digest": "WITH " + _DIGEST.format("shard_lines") + ", x AS (SELECT 1 AS g, records, lpad(file_id::VARCHAR, 12, '0') || ' ' || sha256 AS line FROM f), " + _tree("g") + " SELECT (SELECT count(*) FROM f) AS n_files, (SELECT sum(records)::BIGINT FROM f) AS records, digest FROM t0",
-    "lock_check": "WITH l AS (WITH " + _DIGEST.format("shard_lines WHERE written_at < '2025-10-01'") + " SELECT * FROM f), p AS (WITH " + _DIGEST.format("shard_lines WHERE file_id % 7 <> 0 AND (line_no > 1 OR file_id % 5 <> 0)") + " SELECT * FROM f), "
-    "j AS (SELECT coalesce(l.file_id, p.file_id)::VARCHAR AS path, CASE WHEN p.file_id IS NULL THEN 'missing' WHEN l.file_id IS NULL THEN 'unlocked' WHEN l.sha256 <> p.sha256 THEN 'changed' END AS state FROM l FULL JOIN p ON l.file_id = p.file_id) SELECT * FROM j WHERE state IS NOT NULL",
+    "lock_check": "WITH " + _DIGEST.format("shard_lines") + ", n AS (SELECT DISTINCT file_id, stream, file_seq FROM shard_lines), s AS (SELECT stream, file_seq, sha256 FROM f JOIN n USING (file_id)), "
+    "l AS (SELECT stream || '/' || (file_seq + 1) AS path, sha256 FROM s), p AS (SELECT stream || '/' || file_seq AS path, sha256 FROM s), "
+    "j AS (SELECT coalesce(l.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'missing' WHEN l.path IS NULL THEN 'unlocked' WHEN l.sha256 <> p.sha256 THEN 'changed' END AS state FROM l FULL JOIN p ON l.path = p.path) SELECT * FROM j WHERE state IS NOT NULL",
     "guard_decisions": f"WITH x AS (SELECT file_id, split_part(stream, '/', 1) AS dataset, ['panel', 'judge', 'ptjudge', 'minicheck'][file_id % 4 + 1] AS kind, {_LABEL} AS label FROM shard_lines WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'), "
     f"g AS (SELECT file_id, count(*) AS n_rows, list_sort(coalesce(list(DISTINCT label) FILTER (WHERE label IS NOT NULL), [])) AS rec, any_value(kind) AS kind, any_value(CASE WHEN kind IN ('ptjudge', 'minicheck') THEN CASE WHEN starts_with(dataset, 'aggrefact_') THEN 'claimcheck' ELSE 'qa' END ELSE {_COND} END) AS want FROM x GROUP BY file_id), "
     "h AS (SELECT *, len(rec) = 0 AND (kind = 'minicheck' OR (kind = 'ptjudge' AND want = 'qa')) AS vintage FROM g) "

@@ -10,9 +10,6 @@ from quorate.operators import bootstrap, committee, compare, cost, scorer, verdi
 from quorate.plans.lineage import spread
 from quorate.sources.tables import table
 
-#: Draws of the registered SQL of bootstrap_ci; the query has those of the reference.
-DRAWS = 200
-
 
 def _exp(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "experiment")
@@ -302,8 +299,8 @@ SQL = {
     f"t AS (SELECT dataset, condition, {_cells('d')}, count(*) FILTER (WHERE vv = r) AS n_full, coalesce(sum(k) FILTER (WHERE vv = r), 0) AS s1, coalesce(sum(k * k + (r - k) * (r - k)) FILTER (WHERE vv = r), 0) AS s2, any_value(r) AS r FROM (SELECT *, {_decide('k', 'vv')} AS d FROM b, z) GROUP BY dataset, condition), "
     "q AS (SELECT *, s1::DOUBLE / nullif(n_full * r, 0) AS p, (s2 - n_full * r)::DOUBLE / nullif(n_full * r * (r - 1), 0) AS obs FROM t) "
     f"SELECT dataset, condition, n_full, (obs - (p * p + (1 - p) * (1 - p))) / nullif(1 - (p * p + (1 - p) * (1 - p)), 0) AS fleiss_kappa, {_KAPPA} AS panel_gold_kappa, {_BAL} AS panel_bal_acc_committed FROM q",
-    "bootstrap_draws": "WITH " + _CLUSTERS.format(draws=20) + " SELECT dataset, draw, rank, weight FROM w",
-    "bootstrap_ci": "WITH " + _CLUSTERS.format(draws=DRAWS) + ", "
+    "bootstrap_draws": "WITH " + _CLUSTERS.format(draws=bootstrap.DRAWS) + " SELECT dataset, draw, rank, weight FROM w",
+    "bootstrap_ci": "WITH " + _CLUSTERS.format(draws=bootstrap.DRAWS) + ", "
     "s AS (SELECT k.dataset, k.condition, k.model, w.draw, sum(tp * weight)::BIGINT AS tp, sum(fn * weight)::BIGINT AS fn, sum(fp * weight)::BIGINT AS fp, sum(tn * weight)::BIGINT AS tn FROM k JOIN q USING (dataset, row_id) JOIN w ON w.dataset = k.dataset AND w.rank = q.rank GROUP BY ALL), "
     f"r AS (SELECT dataset, condition, model, {_KAPPA} AS kappa, {_BAL} AS bal FROM s), "
     f"t AS (SELECT dataset, condition, model, {_COV} AS coverage FROM (SELECT dataset, condition, model, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('tp', 'fn', 'fp', 'tn', 'a1', 'a0'))} FROM k GROUP BY ALL)) "

@@ -1,7 +1,4 @@
-"""Queries that did less than the whole job. Where the registered SQL still states the smaller setting, its text is taken with the whole one."""
-
-import re
-from types import SimpleNamespace
+"""Queries that did less than the whole job, on small tables."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,7 +7,7 @@ from quorate.functions import prompts
 from quorate.functions.digests import points
 from quorate.functions.text import point
 from quorate.operators import bootstrap, guard
-from quorate.plans import item_queries, verdict_queries
+from quorate.plans import item_queries
 
 
 def test_exemplars_keep_their_context(spark, tmp_path):
@@ -26,19 +23,6 @@ def test_exemplars_keep_their_context(spark, tmp_path):
             assert text == f"{shown}Question: q?\nClaim: x\nAnswer:{end}"
 
 
-def test_fewshot_block_against_sql_at_the_whole_cap(same):
-    sql = re.sub(r"(?<!\d)60(?!\d)", str(prompts.EXEMPLAR_CHARS), item_queries.SQL["fewshot_block"])
-    same(SimpleNamespace(QUERIES=item_queries.QUERIES, SQL={"fewshot_block": sql}), "fewshot_block")
-
-
-def test_bootstrap_against_sql_at_all_draws(same):
-    """Both queries at B = 2000; the smaller draw tables of the registered SQL are the first rows of the same draws."""
-    sql = {n: re.sub(r"range\((20|200)\) AS b", "range(2000) AS b", verdict_queries.SQL[n]) for n in ("bootstrap_ci", "bootstrap_draws")}
-    for name in sql:
-        assert "range(2000)" in sql[name]
-        same(SimpleNamespace(QUERIES=verdict_queries.QUERIES, SQL=sql), name)
-
-
 def test_default_draws(spark):
     clusters = spark.createDataFrame([("d", i, i, 3) for i in range(3)], "dataset string, row_id long, rank long, size long")
     assert bootstrap.draws(clusters).select("draw").distinct().count() == bootstrap.DRAWS == 2000
