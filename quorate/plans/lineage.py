@@ -41,6 +41,12 @@ def workers(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts(df: DataFrame, size: int = 128 << 20) -> int:
+    """Tasks for work on ``df`` that costs far more than reading it: as many as run at once, more where its bytes ask for it."""
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-told // size), 1_000_000))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` with its rows dealt out over the cluster if its files give fewer tasks than run at once; else as it is.
 
