@@ -44,7 +44,8 @@ def workers(spark: SparkSession) -> int:
 def parts(df: DataFrame, size: int = 128 << 20) -> int:
     """Tasks for work on ``df`` that costs far more than reading it: as many as run at once, more where its bytes ask for it."""
     told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-told // size), 1_000_000))
+    known = -(-told // size) if told < 1 << 60 else df.rdd.getNumPartitions()  # rows that come from no table have no size
+    return max(df.sparkSession.sparkContext.defaultParallelism, known)
 
 
 def spread(df: DataFrame) -> DataFrame:
