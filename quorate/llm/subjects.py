@@ -1,122 +1,110 @@
 """Subject areas of documents, by factoring the document-term matrix with anchored non-negative components.
 
+Words are hashed to a fixed number of terms, so that every word of every text counts whatever the size of the corpus.
 The matrix of each language is factored into one component per subject and one for what all its texts share.
 Components are seeded with what the texts that readers labelled have above the average of their language, labelled
-texts keep to their subjects while mixtures and components are updated in turn, and the mixtures of a text's
-sentences under the learned components give its subjects.  Tasks hold their part of the matrix; what reaches the
-driver between two updates is one number per language, component and term of the vocabulary.
+texts keep to their subjects while mixtures and components are updated in turn until the fit improves no more, and a
+document's subjects are its mixture: the mean of the mixtures of its sentences under the learned components.  Tasks hold
+their part of the matrix; what reaches the driver between two updates is one number per language, component and term.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorate.llm.defects import _LANGUAGE_OF, FUNCTION_WORDS
-from quorate.plans.lineage import cut, spread, workers
-
-LANGUAGES = tuple(FUNCTION_WORDS)
-
-#: A term counts if this share of all texts has it (and three texts or more), so a vocabulary has at most
-#: (terms of an average text) / COMMON terms, however large the corpus.
-COMMON = 0.0005
-#: Letters of a word that make its term, updates of the components, and inner updates of the mixtures.
-STEM, ROUNDS, INNER = 7, 8, 12
-#: Least share of a sentence's mass on subjects that makes it bear one, and of a text's such sentences that makes it treat one.
-BEARING, TREATED = 0.15, 0.3
-
-#: Words of remarks on the claim at hand and of verdict lines, which have no subject.
-_REMARK = re.compile(
-    r"\b(?:the (?:claim|answer|candidate|passage|source|question reads|document says|evidence (?:gives|does))|careful reader|made up|as such|wording"
-    r"|(?:die|der|zur|das) (?:behauptung|antwort|quelle|kandidat)|der text|le texte|(?:la|une) (?:réponse|source|fuente|respuesta|afirmación)|l'affirmation|el texto"
-    r"|lecteur|lector|leser|inventad[ao]|inventée?|erfunden)\b|\bverdict\b",
-    re.IGNORECASE,
-)
-#: Every remark has one of these words; a cheap test before the pattern.
-_REMARK_WORDS = frozenset(
-    "claim answer candidate passage source question document evidence reader made such wording behauptung antwort quelle kandidat text texte réponse fuente respuesta afirmación "
-    "affirmation texto lecteur lector leser inventado inventada inventé inventée erfunden verdict".split()
-)
+from quorate.llm.defects import _VERDICT_STATED, _WEIGHTS, FUNCTION_WORDS
+from quorate.plans.lineage import cut, parts, spread
+
+#: Languages that are factored apart; texts without any of their words share the last place.
+LANGUAGES = (*FUNCTION_WORDS, "other")
+#: Terms that words are hashed to, updates of the components at most, inner updates of the mixtures of texts and of
+#: sentences, the power that sharpens a sentence's mixture, and the least gain in fit that another update must bring.
+TERMS, ROUNDS, INNER, SETTLE, SHARP, GAIN = 1 << 15, 8, 5, 12, 8, 0.002
+#: Least share of a sentence's mass on subjects that makes it bear one, and of a text's mixture that makes it treat one:
+#: more than a quarter, so that a third still counts where a stray sentence bears something else.
+BEARING, TREATED = 0.15, 0.26
+#: Least share that is told at all.
+LEAST = 0.01
+
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 
 
-def term(word: str) -> str:
-    """Term of a lower-case word: its first letters without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))[:STEM]
+def term(word: str) -> int:
+    """Term of a lower-case word, accents apart."""
+    return zlib.crc32("".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).encode()) % TERMS
+
 
+class _Words(dict):
+    """Number of each word met so far, with its term and what it says for each language."""
 
-class _Terms(dict):
-    """Terms of words met so far."""
+    def __init__(self) -> None:
+        super().__init__()
+        self.terms: list[int] = []
+        self.langs: list[tuple[float, ...]] = []
 
-    def __missing__(self, word: str) -> str:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = term(word)
-        return found
+    def __missing__(self, word: str) -> int:
+        weights = dict(_WEIGHTS[word])
+        self.langs.append(tuple(weights.get(lang, 0.0) for lang in FUNCTION_WORDS))
+        self.terms.append(term(word))
+        self[word] = number = len(self.terms) - 1
+        return number
 
 
 def tokenised(documents: DataFrame) -> DataFrame:
-    """doc_id, lang (index), feats (terms of all sentences that may bear a subject, each once a sentence) and lens (terms per sentence)."""
+    """doc_id, lang (index), terms (of all sentences, each once a sentence, in order) and lens (terms per sentence); verdicts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms()
-        for batch in batches:
-            langs, feats, lens = [], [], []
-            for text in batch.column(1).to_pylist():
-                told, mine, sizes = [], [], []
-                for sentence in _SENTENCE.split(text or ""):
-                    words = _WORD.findall(sentence.lower())
-                    told += filter(_LANGUAGE_OF.__contains__, words)
-                    if words and (_REMARK_WORDS.isdisjoint(words) or not _REMARK.search(sentence)):
-                        found = set(map(known.__getitem__, words))
-                        mine += sorted(found)
-                        sizes.append(len(found))
-                score = dict.fromkeys(LANGUAGES, 0.0)
-                for w in told:
-                    for lang, weight in _LANGUAGE_OF[w]:
-                        score[lang] += weight
-                langs.append(max(range(len(LANGUAGES)), key=lambda i: score[LANGUAGES[i]]))
-                feats.append(mine)
-                lens.append(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.int32()), pa.array(feats, pa.list_(pa.string())), pa.array(lens, pa.list_(pa.int32()))], ["doc_id", "lang", "feats", "lens"])
-
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang int, feats array<string>, lens array<int>")
-
-
-def vocabulary(tokens: DataFrame) -> list[str]:
-    """The terms that enough texts have, in order."""
-    n = tokens.count()
-    each = tokens.select(F.explode(F.array_distinct("feats")).alias("t")).groupBy("t").count()
-    return sorted(r["t"] for r in each.where(F.col("count") >= max(3, COMMON * n)).select("t").collect())
-
-
-def matrix(tokens: DataFrame, anchors: DataFrame, terms: list[str]) -> DataFrame:
-    """Rows of the document-term matrix with their anchors: doc_id, lang, subjects, terms (per sentence, as numbers) and lens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(terms, pa.string())
+        known = _Words()
         for batch in batches:
-            feats, lens = batch.column(3), batch.column(4)
-            at = pc.index_in(feats.flatten(), value_set=known)
-            kept = pc.is_valid(at).to_numpy(zero_copy_only=False)
-            size = lens.flatten().to_numpy(zero_copy_only=False)
-            sentence = np.repeat(np.arange(len(size)), size)
-            left = np.bincount(sentence[kept], minlength=len(size))  # known terms of each sentence
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lens.offsets.to_numpy()))
-            ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
-            numbers = pa.ListArray.from_arrays(ends(np.bincount(doc, left, batch.num_rows).astype(np.int64)), at.drop_null().cast(pa.int32()))
-            sizes = pa.ListArray.from_arrays(ends(np.bincount(doc[left > 0], minlength=batch.num_rows)), pa.array(left[left > 0].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), numbers, sizes], ["doc_id", "lang", "subjects", "terms", "lens"])
-
-    joined = tokens.join(anchors, "doc_id", "left").select("doc_id", "lang", F.coalesce("subjects", F.array().cast("array<int>")).alias("subjects"), "feats", "lens")
-    return joined.mapInArrow(run, "doc_id long, lang int, subjects array<int>, terms array<int>, lens array<int>")
+            for part in _parts(batch):
+                if len(known) > 500_000:
+                    known = _Words()
+                ids: list[int] = []
+                lens, per_doc = [], []
+                for text in part.column(1).to_pylist():
+                    low = (text or "").lower()
+                    if "verdict" in low:
+                        low = _VERDICT_STATED.sub(" ", low)
+                    before = len(lens)
+                    for sentence in _SENTENCE.split(low):
+                        words = _WORD.findall(sentence)
+                        if words:
+                            ids += map(known.__getitem__, words)
+                            lens.append(len(words))
+                    per_doc.append(len(lens) - before)
+                yield _numbered(part.column(0), np.array(ids, np.int64), np.array(lens, np.int64), np.array(per_doc, np.int64), known)
+
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang int, terms array<int>, lens array<int>")
+
+
+def _numbered(keys: pa.Array, ids: np.ndarray, lens: np.ndarray, per_doc: np.ndarray, known: _Words) -> pa.RecordBatch:
+    n = len(per_doc)
+    doc = np.repeat(np.arange(n), per_doc)
+    said = np.zeros((n, len(LANGUAGES)))
+    sentence = np.repeat(np.arange(len(lens)), lens)
+    if len(ids):
+        weights, terms = np.array(known.langs), np.array(known.terms, np.int64)
+        np.add.at(said[:, :-1], doc[sentence], weights[ids])
+        key = np.unique(sentence * TERMS + terms[ids])
+    else:
+        key = np.zeros(0, np.int64)
+    said[:, -1] = said.sum(1) == 0
+    sizes = np.bincount(key // TERMS, minlength=len(lens))
+    ends = lambda x: pa.array(np.r_[0, np.cumsum(x)].astype(np.int32))
+    per = np.bincount(doc, sizes, n).astype(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [keys, pa.array(said.argmax(1), pa.int32()), pa.ListArray.from_arrays(ends(per), pa.array((key % TERMS).astype(np.int32))), pa.ListArray.from_arrays(ends(per_doc), pa.array(sizes.astype(np.int32)))],
+        ["doc_id", "lang", "terms", "lens"],
+    )
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +113,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixtures(own: np.ndarray, at: np.ndarray, weight: np.ndarray, w: np.ndarray, inner: int = INNER) -> np.ndarray:
-    """Rows ``w`` after ``inner`` multiplicative updates; ``own`` has the components of each entry, ``at`` its row."""
+    """Rows ``w`` after ``inner`` multiplicative updates; ``own`` has the components of each entry, ``at`` its row, in order."""
     edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     rows, spans = at[edges], np.diff(np.r_[edges, len(at)])
     own, weight, now = own.astype(np.float32), weight.astype(np.float32), w[rows].astype(np.float32)
@@ -136,11 +124,11 @@ def mixtures(own: np.ndarray, at: np.ndarray, weight: np.ndarray, w: np.ndarray,
     return w
 
 
-def _counts(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and count of the entries of a batch of documents, sorted by row, and the rows' languages."""
     values, lens = _flat(batch.column("terms"))
-    key, count = np.unique(np.repeat(np.arange(len(lens)), lens) * size + values, return_counts=True)
-    return key // size, key % size, count.astype(float), batch.column("lang").to_numpy().astype(np.int64)
+    key, count = np.unique(np.repeat(np.arange(len(lens)), lens) * TERMS + values, return_counts=True)
+    return key // TERMS, key % TERMS, count.astype(float), batch.column("lang").to_numpy().astype(np.int64)
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -148,11 +136,14 @@ def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, rows)
 
 
-def _gathered(rows: DataFrame, work, size: int, wide: int) -> np.ndarray:
-    """Sum over all tasks of the arrays (language, term, component) that ``work`` adds up."""
+def _gathered(rows: DataFrame, work, wide: int) -> np.ndarray:
+    """Sum over all tasks of the arrays (language, term, component) that ``work`` adds up.
+
+    A task sends what it has of a language and term as one row; rows are added up by term before they reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LANGUAGES), size, wide))
+        total = np.zeros((len(LANGUAGES), TERMS, wide))
         for batch in batches:
             for part in _parts(batch):
                 work(part, total)
@@ -160,14 +151,13 @@ def _gathered(rows: DataFrame, work, size: int, wide: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(at, pa.int32()), *[pa.array(total[lang, at, k]) for k in range(wide)]], ["lang", "term", *[f"c{k}" for k in range(wide)]])
 
     names = [f"c{k}" for k in range(wide)]
-    summed = rows.mapInArrow(run, "lang int, term int, " + ", ".join(f"{c} double" for c in names)).groupBy("lang", "term").agg(*[F.sum(c).alias(c) for c in names])
-    out = np.zeros((len(LANGUAGES), size, wide))
-    for r in summed.collect():
-        out[r[0], r[1]] = r[2:]
+    summed = rows.mapInArrow(run, "lang int, term int, " + ", ".join(f"{c} double" for c in names)).groupBy("lang", "term").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((len(LANGUAGES), TERMS, wide))
+    out[summed.column("lang").to_numpy(), summed.column("term").to_numpy()] = np.column_stack([summed.column(c).to_numpy() for c in names])
     return out
 
 
-def seeds(rows: DataFrame, k: int, size: int, notes: list[set[int]]) -> np.ndarray:
+def seeds(rows: DataFrame, k: int, notes: list[set[int]]) -> np.ndarray:
     """First components (language, term, component), the last one the average of the language.
 
     A subject starts with what its labelled texts have above one and a half times the average of their language, to a
@@ -175,7 +165,7 @@ def seeds(rows: DataFrame, k: int, size: int, notes: list[set[int]]) -> np.ndarr
     """
 
     def work(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        at, terms, count, lang = _counts(batch, size)
+        at, terms, count, lang = _counts(batch)
         if not len(at):
             return
         share = count / np.bincount(at, count, batch.num_rows)[at]
@@ -185,7 +175,7 @@ def seeds(rows: DataFrame, k: int, size: int, notes: list[set[int]]) -> np.ndarr
             lo, hi = np.searchsorted(at, [i, i + 1])
             total[lang[i], terms[lo:hi], s] += share[lo:hi] / lens[i]
 
-    total = _gathered(rows, work, size, k + 1)
+    total = _gathered(rows, work, k + 1)
     mass = total.sum(1)
     seen = total[:, :, k] > 0
     mean = total[:, :, k] / np.maximum(mass[:, k], 1)[:, None]
@@ -193,23 +183,28 @@ def seeds(rows: DataFrame, k: int, size: int, notes: list[set[int]]) -> np.ndarr
     whole = above.sum(0) / np.maximum(mass[:, :k].sum(0), 1)
     for s, ids in enumerate(notes):
         whole[sorted(ids), s] += 0.02
-    h = np.zeros((len(LANGUAGES), size, k + 1))
+    h = np.zeros((len(LANGUAGES), TERMS, k + 1))
     h[:, :, :k] = (above + 0.5 * whole[None] * seen[:, :, None]) / (mass[:, None, :k] + 0.5) + 2e-6 * seen[:, :, None] + 1e-9
     h[:, :, k] = mean + 1e-7
     return h / h.sum(1, keepdims=True)
 
 
 def learned(rows: DataFrame, h: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Components after alternating updates."""
-    size, wide = h.shape[1:]
+    """Components after alternating updates: as many as better the fit by ``GAIN``, ``rounds`` at most.
+
+    The fit of the components before an update is gathered with it, under the components' last place.
+    """
+    wide = h.shape[2]
+    context = rows.sparkSession.sparkContext
+    last = np.inf
     for _ in range(rounds):
-        now = h
+        sent = context.broadcast(h.astype(np.float32))  # languages x TERMS x components, whatever the corpus
 
-        def work(batch: pa.RecordBatch, total: np.ndarray, now: np.ndarray = now) -> None:
-            at, terms, count, lang = _counts(batch, size)
+        def work(batch: pa.RecordBatch, total: np.ndarray, sent=sent) -> None:
+            at, terms, count, lang = _counts(batch)
             if not len(at):
                 return
-            own = now[lang[at], terms]
+            own = sent.value[lang[at], terms]
             w = np.ones((batch.num_rows, wide))
             w[:, -1] = 3
             anchors, lens = _flat(batch.column("subjects"))
@@ -218,16 +213,23 @@ def learned(rows: DataFrame, h: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
             w[np.repeat(np.arange(len(lens)), lens), anchors] = 1
             w *= (np.bincount(at, count, batch.num_rows) / w.sum(1))[:, None]
             w = mixtures(own, at, count, w)
-            np.add.at(total, (lang[at], terms), w[at] * (count / ((w[at] * own).sum(1) + 1e-12))[:, None])
+            fit = (w[at] * own).sum(1) + 1e-12
+            np.add.at(total, (lang[at], terms), np.column_stack([w[at] * (count / fit)[:, None], count * np.log(count / fit)]))
 
-        h = now * _gathered(rows, work, size, wide)
+        total = _gathered(rows, work, wide + 1)
+        loss = float(total[:, :, wide].sum())
+        h = h * total[:, :, :wide]
         h = h / (h.sum(1, keepdims=True) + 1e-9) + 1e-8
+        if last - loss < GAIN * abs(loss):
+            break
+        last = loss
     return h
 
 
 def shares(rows: DataFrame, h: np.ndarray, names: list[str]) -> DataFrame:
-    """doc_id, subject, n_sentences and share: the part of a text's subject-bearing sentences that each subject has."""
-    size, wide = h.shape[1:]
+    """doc_id, subject, n_sentences and share: the mean mixture of a text's subject-bearing sentences, and those of them whose first subject it is."""
+    wide = h.shape[2]
+    sent = rows.sparkSession.sparkContext.broadcast(h.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,19 +237,22 @@ def shares(rows: DataFrame, h: np.ndarray, names: list[str]) -> DataFrame:
                 values, _ = _flat(part.column("terms"))
                 lens, per_doc = _flat(part.column("lens"))
                 doc = np.repeat(np.arange(part.num_rows), per_doc)
-                found = np.zeros((part.num_rows, wide - 1), np.int64)
+                found, mixed = np.zeros((part.num_rows, wide - 1), np.int64), np.zeros((part.num_rows, wide - 1))
                 if len(values):
                     at = np.repeat(np.arange(len(lens)), lens)
                     lang = part.column("lang").to_numpy().astype(np.int64)[doc]
                     w = np.full((len(lens), wide), 1 / (wide - 1))
                     w[:, -1] = 1
-                    w = mixtures(h[lang[at], values], at, np.ones(len(at)), w)
-                    bears = w[:, :-1].sum(1) >= BEARING * w.sum(1)
+                    w = mixtures(sent.value[lang[at], values], at, np.ones(len(at)), w, SETTLE)
+                    mass = w[:, :-1].sum(1)
+                    bears = mass >= BEARING * w.sum(1)
                     np.add.at(found, (doc[bears], w[bears, :-1].argmax(1)), 1)
-                i, s = np.nonzero(found)
-                n = found[i, s]
+                    sharp = w[bears, :-1] ** SHARP
+                    np.add.at(mixed, doc[bears], sharp / sharp.sum(1, keepdims=True))
+                mixed = np.round(mixed / np.maximum(found.sum(1), 1)[:, None], 6)
+                i, s = np.nonzero(mixed >= LEAST)
                 ids = part.column("doc_id").to_numpy()[i]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([names[x] for x in s], pa.string()), pa.array(n, pa.int64()), pa.array(n / found.sum(1)[i])], ["doc_id", "subject", "n_sentences", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([names[x] for x in s], pa.string()), pa.array(found[i, s], pa.int64()), pa.array(mixed[i, s])], ["doc_id", "subject", "n_sentences", "share"])
 
     return rows.select("doc_id", "lang", "terms", "lens").mapInArrow(run, "doc_id long, subject string, n_sentences long, share double")
 
@@ -260,22 +265,21 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
     """
     notes = areas.where("subject IS NOT NULL").groupBy("subject").agg(F.min("scope_note").alias("note")).orderBy("subject").collect()
     names = [r["subject"] for r in notes]
-    tokens = cut(tokenised(documents.where("doc_id IS NOT NULL")))
-    terms = vocabulary(tokens)
-    if not terms or not names:
+    if not names:
         return documents.sparkSession.createDataFrame([], "doc_id long, subject string, n_sentences long, share double")
     index = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))])
     anchors = labels.select("doc_id", F.try_element_at(index, F.col("subject")).alias("s")).where("s IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("subjects"))
-    # Hashed, so that the matrix has even parts whatever the sizes of the input's files.
-    rows = cut(matrix(tokens.repartition(workers(documents.sparkSession), "doc_id"), anchors, terms))
-    number = {t: i for i, t in enumerate(terms)}
-    scope = [{number[t] for w in _WORD.findall(f"{r['subject']} {r['note'] or ''}".lower()) if (t := term(w)) in number} for r in notes]
+    docs = documents.where("doc_id IS NOT NULL")
+    # Hashed, so that the matrix has even parts whatever the sizes of the input's files; their number follows its bytes.
+    tokens = tokenised(docs).repartition(parts(docs), "doc_id")
+    rows = cut(tokens.join(anchors, "doc_id", "left").select("doc_id", "lang", F.coalesce("subjects", F.array().cast("array<int>")).alias("subjects"), "terms", "lens"))
+    scope = [{term(w) for w in _WORD.findall(f"{r['subject']} {r['note'] or ''}".lower())} for r in notes]
     train = rows.select("lang", "subjects", "terms")
-    return shares(rows, learned(train, seeds(train, len(names), len(terms), scope)), names)
+    return shares(rows, learned(train, seeds(train, len(names), scope)), names)
 
 
 def found(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """doc_id and subject for each subject that a substantial share of the document's sentences treat."""
+    """doc_id and subject for each subject that makes a substantial part of the document's mixture."""
     return subject_shares(documents, labels, areas).where(F.col("share") >= TREATED).select("doc_id", "subject")
 
 
