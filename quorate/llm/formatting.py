@@ -1,7 +1,8 @@
 """Records that are identical but for formatting, by dictionary encoding.
 
-Every distinct value is brought to its canonical form once and gets an integer; records become tuples of integers,
-with lists sorted, and equal tuples are one record.
+Values are brought to their canonical form where they lie and get an integer, so that no text moves; a dictionary of all
+integers in use shows that no two forms share one.  Records become tuples of integers, with lists sorted, and equal
+tuples are one record.
 """
 
 from __future__ import annotations
@@ -20,30 +21,40 @@ def canonical(value: Column) -> Column:
     return F.replace(F.lower(F.upper(kept)), F.lit("ß"), F.lit("ss"))  # a sharp s is two s in upper case
 
 
-def dictionary(values: DataFrame) -> DataFrame:
-    """(value, code): the code of each distinct ``value``; values with equal canonical form share one, 0 is the empty form."""
-    forms = cut(values.select("value").distinct().select("value", canonical(F.col("value")).alias("form")))
-    codes = cut(forms.where("form <> ''").select("form").distinct().select("form", (F.monotonically_increasing_id() + 1).alias("code")))
-    return cut(forms.join(codes, "form", "left").select("value", F.coalesce("code", F.lit(0)).alias("code")))
+def code(form: Column, second: bool = False) -> Column:
+    """The integer of a canonical form, or a second one that is independent of it."""
+    return F.xxhash64(F.lit(1), form) if second else F.xxhash64(form)
+
+
+def shared_codes(entries: DataFrame) -> DataFrame:
+    """The dictionary's flaws: codes that more than one form has (code), told apart by their second integers.
+
+    ``entries`` has code and mark (the second integer); equal ones are added up before they are shuffled.
+    """
+    return entries.groupBy("code").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("code")
 
 
 def encoded(records: DataFrame, key: str, texts: Sequence[str], lists: Sequence[str]) -> DataFrame:
     """``key`` and ``tuple``: for each field the sorted codes of its entries, entries without letter or digit left out.
 
-    Null equals empty throughout.  Only ``key`` and the named fields are read; keys must be unique.
+    Null equals empty throughout.  Only ``key`` and the named fields are read; keys must be unique.  Where two forms of
+    the whole table share a code, which next to never happens, their second integer is part of the tuple.
     """
 
     def entry(number: int, name: str) -> Column:
         values = F.array(F.col(name)) if name in texts else F.coalesce(F.col(name), F.array().cast("array<string>"))
-        return F.transform(values, lambda v: F.struct(F.lit(number).alias("field"), v.alias("value")))
-
-    entries = [entry(i, t) for i, t in enumerate([*texts, *lists])]
-    each = cut(records.select(F.col(key).alias("id"), F.explode(F.flatten(F.array(*entries))).alias("e")).select("id", "e.field", "e.value").where("value IS NOT NULL"))
-    coded = each.join(dictionary(each), "value").where("code > 0").select("id", F.struct("field", "code").alias("c"))
-    tuples = coded.groupBy("id").agg(F.sort_array(F.collect_list("c")).alias("tuple"))
-    # A record without any letter or digit has the empty tuple.
-    empty = F.array().cast("array<struct<field:int,code:bigint>>")
-    return records.select(F.col(key).alias("id")).join(tuples, "id", "left").select(F.col("id").alias(key), F.coalesce("tuple", empty).alias("tuple"))
+        forms = F.filter(F.transform(values, canonical), lambda f: f != "")
+        return F.transform(forms, lambda f: F.struct(F.lit(number).alias("field"), code(f).alias("code"), code(f, True).alias("mark")))
+
+    listed = F.flatten(F.array(*[entry(i, t) for i, t in enumerate([*texts, *lists])]))
+    each = cut(records.select(F.col(key).alias("id"), listed.alias("entries")))
+    flaws = cut(shared_codes(each.select(F.explode("entries").alias("e")).select("e.code", "e.mark")))
+    if flaws.isEmpty():
+        return each.select(F.col("id").alias(key), F.sort_array(F.transform("entries", lambda e: F.struct(e["field"].alias("field"), e["code"].alias("code"), F.lit(0).cast("bigint").alias("mark")))).alias("tuple"))
+    flawed = flaws.withColumn("flawed", F.lit(True))
+    told = each.select("id", F.explode_outer("entries").alias("e")).select("id", "e.field", "e.code", "e.mark").join(flawed, "code", "left")
+    one = F.when(F.col("field").isNotNull(), F.struct("field", "code", F.when(F.col("flawed"), F.col("mark")).otherwise(0).alias("mark")))
+    return told.groupBy("id").agg(F.sort_array(F.collect_list(one)).alias("tuple")).withColumnRenamed("id", key)
 
 
 def groups(records: DataFrame, key: str, texts: Sequence[str], lists: Sequence[str]) -> tuple[DataFrame, DataFrame]:
