@@ -91,7 +91,7 @@ def anneal(size: np.ndarray, ones: np.ndarray, start: np.ndarray, goal: np.ndarr
         return abs(have[split] + more - want[split]) / total + 0.5 * abs(have1[split] + more1 - want1[split]) / label
 
     now = best = sum(off(s, 0.0, 0.0) for s in range(k))
-    steps = min(200_000, rounds * n + 400)
+    steps = rounds * n + 400
     picks, others, splits, lucks = rng.integers(0, n, steps).tolist(), rng.integers(0, n, steps).tolist(), rng.integers(0, k, steps).tolist(), rng.random(steps).tolist()
     changed: list[tuple[int, int]] = []  # moves since the best state
     for step, (i, j, split, luck) in enumerate(zip(picks, others, splits, lucks, strict=True)):
@@ -119,14 +119,14 @@ def anneal(size: np.ndarray, ones: np.ndarray, start: np.ndarray, goal: np.ndarr
     return best, kept
 
 
-def _chains(goal: list[float], seed: int):
+def _chains(goal: list[float], seed: int, chains: int):
     goal = np.asarray(goal, float)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("component", kind="stable").reset_index(drop=True)
-        chain, block = int(part["chain"].iloc[0]), int(part["block"].iloc[0])
-        cost, at = anneal(part["n"].to_numpy(float), part["ones"].to_numpy(float), part["start"].to_numpy(), goal, hash((seed, block, chain)) & 0x7FFFFFFF)
-        return pd.DataFrame({"block": block, "chain": chain, "cost": cost, "component": part["component"], "n": part["n"], "split": at})
+        block, args = int(part["block"].iloc[0]), (part["n"].to_numpy(float), part["ones"].to_numpy(float), part["start"].to_numpy(), goal)
+        _, at = min((anneal(*args, hash((seed, block, chain)) & 0x7FFFFFFF) for chain in range(chains)), key=lambda r: r[0])
+        return pd.DataFrame({"component": part["component"], "n": part["n"], "split": at})
 
     return run
 
@@ -136,7 +136,7 @@ def assign(parts: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1), seed:
 
     Components with more than the share ``heavy`` of all records, of which there are at most 1/heavy, are annealed
     together first.  The rest goes by hash to blocks of about ``block`` components that anneal at the same time towards
-    what the heavy ones left open.  ``chains`` runs per block start alike and differ in their seed.
+    what the heavy ones left open.  ``chains`` runs per block start alike and differ in their seed; the best one counts.
     """
     n_all, count = parts.agg(F.sum("n"), F.count("*")).first()
     if not count:
@@ -149,21 +149,17 @@ def assign(parts: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1), seed:
     blocks = max(1, round(count / block))
     big = F.col("n") > heavy * n_all
     staged = cut(parts.select("component", "n", "ones", start.alias("start"), F.when(big, -1).otherwise(F.pmod(F.xxhash64(F.col("component")), F.lit(blocks)).cast("int")).alias("block")))
-    schema = "block int, chain int, cost double, component string, n long, split int"
-    # Few bytes take long here, so chains are dealt out by number and not by size.
-    tasks = min(4 * workers(parts.sparkSession), max(blocks, 1) * chains)
-    runs = lambda df: df.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(chains)]))).repartition(tasks, "block", "chain").groupBy("block", "chain")
+    # Few bytes take long here, so blocks are dealt out by number and not by size.
+    tasks = min(4 * workers(parts.sparkSession), blocks)
 
-    def best(run: DataFrame) -> DataFrame:
-        run = cut(run)
-        first = run.groupBy("block").agg(F.min(F.struct("cost", "chain"))["chain"].alias("chain"))
-        return run.join(F.broadcast(first), ["block", "chain"]).select("component", "n", "split")
+    def settled_by(where: str, goal: list[float]) -> DataFrame:
+        return cut(staged.where(where).repartition(tasks, "block").groupBy("block").applyInPandas(_chains(goal, seed, chains), "component string, n long, split int"))
 
     goal = [s * n_all for s in shares]
-    settled = best(runs(staged.where("block = -1")).applyInPandas(_chains(goal, seed), schema))
+    settled = settled_by("block = -1", goal)
     taken = {r["split"]: r["n"] for r in settled.groupBy("split").agg(F.sum("n").alias("n")).collect()}
     left = [max(0.0, g - taken.get(k, 0)) for k, g in enumerate(goal)]
-    rest = best(runs(staged.where("block >= 0")).applyInPandas(_chains(left if sum(left) > 0 else list(goal), seed), schema))
+    rest = settled_by("block >= 0", left if sum(left) > 0 else list(goal))
     names = F.array(*[F.lit(s) for s in SPLITS])
     return settled.unionByName(rest).select("component", F.element_at(names, F.col("split") + 1).alias("split"))
 
