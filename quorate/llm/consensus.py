@@ -46,78 +46,98 @@ def item_votes(verdicts: DataFrame) -> DataFrame:
     return items.select("dataset", "uid", gold.alias("gold"), votes.alias("votes"))
 
 
-def annotators(votes: DataFrame, most: int = 256) -> list[str]:
-    """The annotators in order.  They are a panel, not data: more than ``most`` raise an error."""
-    found = votes.select(F.explode(F.map_keys("votes")).alias("m")).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} annotators")
-    return sorted(r[0] for r in found)
+def annotators(votes: DataFrame) -> list[str]:
+    """The annotators in order: a panel, whose size and not the data's decides what the driver holds."""
+    return sorted(r[0] for r in votes.select(F.explode(F.map_keys("votes")).alias("m")).distinct().collect())
 
 
-def moments(votes: DataFrame, panel: list[str]) -> dict[str, np.ndarray]:
-    """Joint sums of the votes of each one, two and three annotators over all items.
+def _summed(votes: DataFrame, panel: list[str], shapes: dict[str, tuple[int, ...]], add) -> dict[str, np.ndarray]:
+    """Sums over all items of the arrays that ``add`` makes of a slice of votes (z, zero where there is none) and of who voted (o).
 
-    Each task reduces its items to one fixed-size set of sums; only these are shuffled and reach the driver.
+    Each task reduces its items to one fixed-size set of sums; only these are shuffled and reach the driver.  Slices
+    shrink as the panel grows, so that what a task holds beside its sums has a bound.
     """
     m = len(panel)
-    shapes = {"n1": m, "s1": m, "n2": m * m, "a2": m * m, "p2": m * m, "n3": m**3, "c3": m**3, "b3": m**3, "p3": m**3}
+    size = max(1, min(4096, (1 << 22) // (m * m)))
+    ends = np.cumsum([0, *[int(np.prod(s)) for s in shapes.values()]])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(n) for k, n in shapes.items()}
+        total = {k: np.zeros(s) for k, s in shapes.items()}
         for batch in batches:
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, m)
-            for lo in range(0, len(x), 4096):
-                part = x[lo : lo + 4096]
-                o = (~np.isnan(part)).astype(float)
-                z = np.nan_to_num(part)
-                oo, zz, zo = ((a[:, :, None] * b[:, None, :]).reshape(len(part), -1) for a, b in ((o, o), (z, z), (z, o)))
-                for k, v in (("n1", o.sum(0)), ("s1", z.sum(0)), ("n2", o.T @ o), ("a2", z.T @ o), ("p2", z.T @ z), ("n3", oo.T @ o), ("c3", zo.T @ o), ("b3", zz.T @ o), ("p3", zz.T @ z)):
-                    total[k] += v.ravel()
-        keys = pa.array([k for k, n in shapes.items() for _ in range(n)])
-        yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([np.arange(n) for n in shapes.values()])), pa.array(np.concatenate(list(total.values())))], ["k", "i", "v"])
+            for lo in range(0, len(x), size):
+                part = x[lo : lo + size]
+                add(total, np.nan_to_num(part), (~np.isnan(part)).astype(float))
+        flat = np.concatenate([v.ravel() for v in total.values()])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], ["i", "v"])
 
     dense = votes.select(F.array(*[F.try_element_at("votes", F.lit(a)) for a in panel]).alias("x"))
-    summed = dense.mapInArrow(reduce, "k string, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
-    out = {k: np.zeros(n) for k, n in shapes.items()}
-    for r in summed:
-        out[r["k"]][r["i"]] = r["v"]
-    return {k: v.reshape((m,) * int(k[1])) for k, v in out.items()}
+    got = dense.mapInArrow(reduce, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(ends[-1])
+    flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
+    return {k: flat[lo:hi].reshape(s) for (k, s), lo, hi in zip(shapes.items(), ends, ends[1:], strict=False)}
+
+
+def moments(votes: DataFrame, panel: list[str]) -> dict[str, np.ndarray]:
+    """Joint sums of the votes of each one and two annotators over all items."""
+    m = len(panel)
+
+    def add(total: dict[str, np.ndarray], z: np.ndarray, o: np.ndarray) -> None:
+        for k, v in (("n1", o.sum(0)), ("s1", z.sum(0)), ("n2", o.T @ o), ("a2", z.T @ o), ("p2", z.T @ z)):
+            total[k] += v
 
+    return _summed(votes, panel, {"n1": (m,), "s1": (m,), "n2": (m, m), "a2": (m, m), "p2": (m, m)}, add)
 
-def solve(s: dict[str, np.ndarray]) -> dict[str, np.ndarray | float]:
+
+def third_moments(votes: DataFrame, panel: list[str], mu: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the products of three annotators' votes less their means over the items that all three judged, and the number of these, for the first of the three in ``at``."""
+    m = len(panel)
+
+    def add(total: dict[str, np.ndarray], z: np.ndarray, o: np.ndarray) -> None:
+        # Votes less their means, zero without a vote: their products need no further terms.
+        c = (z - mu) * o
+        for k, i in enumerate(at):
+            total["t3"][k] += (c * c[:, i : i + 1]).T @ c
+            total["n3"][k] += (o * o[:, i : i + 1]).T @ o
+
+    out = _summed(votes, panel, {"t3": (len(at), m, m), "n3": (len(at), m, m)}, add)
+    return out["t3"], out["n3"]
+
+
+def solve(votes: DataFrame, panel: list[str], most: int = 1 << 20) -> dict[str, np.ndarray | float]:
     """Share of positives and each annotator's sensitivity and specificity from the joint sums.
 
     The panel as a whole is taken to be better than chance, single annotators need not be.  Fewer than three
-    annotators, or votes without any agreement, tell nothing: all then count alike.
+    annotators, or votes without any agreement, tell nothing: all then count alike.  Third moments are summed for as
+    many annotators at a time as keeps the sums below ``most`` numbers: for 64 annotators and more in several passes.
     """
-    m = len(s["n1"])
+    s = moments(votes, panel)
+    m = len(panel)
     n = np.maximum(s["n1"], 1)
     mu = s["s1"] / n
     n2 = np.maximum(s["n2"], 1)
     cov = (s["p2"] - mu[None, :] * s["a2"] - mu[:, None] * s["a2"].T + np.outer(mu, mu) * s["n2"]) / n2
-    square = np.zeros(m)
-    for i in range(m):
-        others = [j for j in range(m) if j != i]
-        pairs = [(j, k) for a, j in enumerate(others) for k in others[a + 1 :]]
-        weight = sum(cov[j, k] ** 2 for j, k in pairs)
-        square[i] = sum(cov[i, j] * cov[i, k] * cov[j, k] for j, k in pairs) / weight if weight > 0 else 0
+    off = cov - np.diag(np.diag(cov))
+    # For each annotator the triplets it is in: sum of C_ij C_ik C_jk over those of C_jk^2, without itself.
+    weight = np.array([(np.delete(np.delete(off, i, 0), i, 1) ** 2).sum() for i in range(m)])
+    square = np.divide(np.einsum("ij,jk,ki->i", off, off, off, optimize=True), weight, out=np.zeros(m), where=weight > 0)
     size = np.sqrt(np.maximum(square, 0))
     if m < 3 or not size.any():
         return {"share": 0.5, "sensitivity": np.full(m, 0.75), "specificity": np.full(m, 0.75), "votes": s["n1"]}
-    off = cov - np.diag(np.diag(cov))
     v = size * np.where(np.linalg.eigh(off)[1][:, -1] < 0, -1, 1)
     v = -v if v.sum() < 0 else v
 
-    a, b, c = mu[:, None, None], mu[None, :, None], mu[None, None, :]
-    t = s["p3"] - c * s["b3"] - b * s["b3"].transpose(0, 2, 1) - a * s["b3"].transpose(2, 0, 1)
-    t += b * c * s["c3"] + a * c * s["c3"].transpose(1, 0, 2) + a * b * s["c3"].transpose(1, 2, 0) - a * b * c * s["n3"]
     top = bottom = 0.0
-    for i in range(m):
-        for j in range(i + 1, m):
-            for k in range(j + 1, m):
-                if s["n3"][i, j, k] > 0:
-                    p = v[i] * v[j] * v[k]
-                    top, bottom = top + t[i, j, k] / s["n3"][i, j, k] * p, bottom + p * p
+    step = max(1, min(m, most // (2 * m * m)))
+    for lo in range(0, m, step):
+        at = list(range(lo, min(m, lo + step)))
+        t, n3 = third_moments(votes, panel, mu, at)
+        i, j, k = np.array(at)[:, None, None], np.arange(m)[None, :, None], np.arange(m)[None, None, :]
+        own = (n3 > 0) & (i < j) & (j < k)
+        p = v[at][:, None, None] * v[None, :, None] * v[None, None, :]
+        top += float((t / np.maximum(n3, 1) * p)[own].sum())
+        bottom += float((p * p)[own].sum())
     skew = top / bottom if bottom > 0 else 0.0
     share = float(np.clip(0.5 * (1 - skew / np.sqrt(4 + skew * skew)), MARGIN, 1 - MARGIN))
     d = v / np.sqrt(share * (1 - share))
@@ -136,7 +156,7 @@ def weights(model: dict) -> tuple[float, list[float], list[float]]:
 def fit(votes: DataFrame) -> tuple[list[str], dict]:
     """The annotators and their model; both empty where there is no vote."""
     panel = annotators(votes)
-    return panel, solve(moments(votes, panel)) if panel else {"share": 0.5, "sensitivity": np.zeros(0), "specificity": np.zeros(0), "votes": np.zeros(0)}
+    return panel, solve(votes, panel) if panel else {"share": 0.5, "sensitivity": np.zeros(0), "specificity": np.zeros(0), "votes": np.zeros(0)}
 
 
 def labels(votes: DataFrame, panel: list[str], model: dict) -> DataFrame:
@@ -145,10 +165,9 @@ def labels(votes: DataFrame, panel: list[str], model: dict) -> DataFrame:
     An item without votes, or whose votes weigh exactly nothing, has a null consensus.
     """
     prior, one, zero = weights(model)
-    score = F.lit(prior)
-    for a, w1, w0 in zip(panel, one, zero, strict=True):
-        x = F.try_element_at("votes", F.lit(a))
-        score = score + F.coalesce(x * F.lit(w1) + (1 - x) * F.lit(w0), F.lit(0.0))
+    told = lambda w: F.map_from_arrays(F.array(*[F.lit(a) for a in panel]), F.array(*[F.lit(x) for x in w])) if panel else F.lit(None).cast("map<string,double>")
+    weigh = lambda e: e["value"] * F.try_element_at(told(one), e["key"]) + (1 - e["value"]) * F.try_element_at(told(zero), e["key"])
+    score = F.aggregate(F.map_entries("votes"), F.lit(prior), lambda acc, e: acc + F.coalesce(weigh(e), F.lit(0.0)))
     odds = F.round(F.when(F.size("votes") > 0, score), 6)
     return votes.select("dataset", "uid", "gold", F.when(odds > 0, 1).when(odds < 0, 0).alias("consensus"), odds.alias("log_odds"), F.size("votes").alias("n_votes"))
 

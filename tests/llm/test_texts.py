@@ -17,6 +17,10 @@ LONG = "word " * 60_000
         ("Dates and names were read twi", completeness.OPEN), ("I'm unable to find 3 in any line", completeness.OPEN), ("The passage mentions X. A careful", completeness.OPEN),
         ("The figure is [...]", completeness.CUT), ("The comet …", completeness.CUT), ("The com�", completeness.CUT), ("It is no\\u00", completeness.CUT), ("The depa-", completeness.CUT), ("and then it w...", completeness.CUT),
         ("Fine. VERDICT: Suppo", completeness.CUT), ("Fine.\n**VERDICT: ", completeness.CUT), ("VERDICT", completeness.CUT), ("VERDICT: NOT", completeness.CUT), ("**VERDICT: SUPPORTED", completeness.CUT), ("One.\n2.", completeness.CUT),
+        ('```json\n{"a": 1, "b": "the source.', completeness.CUT), ('He said "the figure is wrong.', completeness.WHOLE), ("<b>The claim is wrong.", completeness.CUT), ("<b>The claim</b> is <br> wrong.", completeness.WHOLE), ("The evidence says **this.", completeness.CUT),
+        ("The evidence says **this**.", completeness.WHOLE), ("(see the appendix of Dr.", completeness.CUT), ("It follows from e.g.", completeness.CUT), ("Accuracy rose to 95%", completeness.OPEN), ("See AT&T", completeness.OPEN), ("uses C#\\", completeness.OPEN),
+        ("It was â€", completeness.CUT), ("na Ã", completeness.CUT), ("M&uuml", completeness.CUT), ("caf%C3%A", completeness.CUT), ("»Das ist so.«", completeness.WHOLE), ("„Das ist so.“", completeness.WHOLE), ('a 5" disk is fine.', completeness.WHOLE), ("see `x(` there.", completeness.WHOLE),
+        ("VERDICT:\nSUPPORTED", completeness.WHOLE), ("VERDICT:" + " " * 300 + "supported", completeness.WHOLE), ("A list 1) one 2) two.", completeness.WHOLE), ("Odd :( but fine.", completeness.WHOLE), ("x" + "(" * 50_000 + "y.", completeness.CUT),
         ('He said "it was', completeness.CUT), ("the note (see", completeness.CUT), (LONG, completeness.OPEN), (LONG.strip() + ".", completeness.WHOLE),
     ],
 )
@@ -60,20 +64,62 @@ def test_defect(text, want):
 
 def test_languages():
     for text, want in (("Die Quelle nennt 7 für X nicht.", "de"), ("La source ne donne pas 7 pour X.", "fr"), ("La fuente no da 7 para X.", "es"), ("The evidence does not give 7.", "en"), ("7", None), ("", None)):
-        assert defects.language(text)[0] == want
+        assert defects.language(text) == want
     german = defects.Prompt("Welchen Wert meldete X im Jahr 1966?", "c", None)
     assert defects.defect(EN, german, True) == "language" and defects.defect(DE, german, True) is None
 
 
+@pytest.mark.parametrize("text", [
+    "I cannot provide a verdict on this.", "I must abstain from rating this content.", "I am unable to complete this evaluation.", "I decline.", "Leider kann ich dazu keine Bewertung abgeben.", "Je ne suis pas en mesure de porter un jugement.", "Lo siento, no puedo emitir un juicio.",
+    "I'd rather not score this one.", "My policy does not allow me to grade such answers.", "We are not in a position to review this response.", "Sorry, this is beyond what I am able to assess.", "I refuse to answer.", "As an AI, I should refrain from commenting on this.", "Ich lehne es ab, diese Aussage zu beurteilen.",
+    "Ich möchte mich dazu nicht äußern.", "Es ist mir nicht gestattet, das zu bewerten.", "Je refuse de juger ce texte.", "Je préfère ne pas donner mon avis.", "Me niego a valorar este texto.", "No estoy en condiciones de evaluar la respuesta.", "It would be inappropriate for me to rate it.", "I'm not qualified to judge medical claims.",
+    "I can't assess this answer.\nVERDICT: not sure",
+])
+def test_refusals_in_other_words(text):
+    assert defects.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", [
+    "The claim cannot be judged true from line two.", "I cannot find the figure in the text.", "I can't tell which of the two is meant.", "I reviewed the claim and it cannot be supported by the text.", "I am not sure whether the answer holds.", "I can't rate the style, only the facts.", "No puedo hallar la cifra en el texto.",
+    "Ich kann die Zahl im Text nicht finden.", "Je ne vois pas ce chiffre dans la source.", "The review board refused the permit in 1990.", "The judge declined to rule on the case.", "The passage is silent on this; undecided.", "I was unable to verify the second date.", "I can't assess this answer. VERDICT: HALLUCINATED", LONG,
+])
+def test_what_is_no_refusal(text):
+    assert not defects.is_refusal(text)
+
+
+def test_common_subsequence():
+    rnd = random.Random(7)
+    for _ in range(200):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert defects.common(a, b) == best[-1][-1]
+
+
+def test_copies_with_a_change():
+    prompt = defects.Prompt(Q, "It was 7 there.", ["The junction file gives 7. It was read in 1971 by two clerks."])
+    for text in (Q.replace("number", "figure"), f"You asked: {Q}", Q[:-6] + "?", f"Evidence: the junction file gives 7.\n{Q}"):
+        assert defects.defect(text, prompt, True) == "echo", text
+    for text, want in ((Q[:-6], "truncated"), (f"{Q} I think so.", None), (f"{Q} It was read in 1971 by nobody I know of.", None), ("The junction file gives 7.", None)):
+        assert defects.defect(text, prompt, True) == want, text
+
+
+def test_more_languages():
+    for text, want in (("La fonte non dice nulla della cifra e la risposta è sbagliata.", "it"), ("A fonte não diz nada sobre o número e a resposta está errada.", "pt"), ("De bron zegt niets over het getal en het antwoord is niet juist.", "nl"), ("来源没有提到这个数字。", "zh"), ("Источник не упоминает это число.", "ru")):
+        assert want in defects.possible_languages(text) and defects.defect(text, defects.Prompt(Q, None, None), True) == "language"
+
+
 def test_defects_over_tables(spark):
     exp = "rec_id long, dataset string, uid string, model string, raw string"
     inst = "inst_id long, dataset string, uid string, question string, context array<string>, candidate string"
     items = spark.createDataFrame([(1, "d", "1", Q, ["x"], "c"), (2, "d", "1", "other?", None, "c"), (3, "d", "2", None, None, None)], inst).withColumns({"rec_id": F.lit(7), "raw": F.lit("r"), "item": F.lit(1)})
-    rows = [(1, "d", "1", "m", Q), (2, "d", "1", "m", Q), (3, "d", "2", "m", Q), (4, "x", "9", "m", None), (5, None, None, None, "Whole text."), (6, "d", "1", "m", LONG.strip() + "."), (None, "d", "1", "m", "")]
+    rows = [(1, "d", "1", "m", Q), (2, "d", "1", "m", Q), (3, "d", "2", "m", Q), (4, "x", "9", "m", None), (5, None, None, None, "Whole text."), (6, "d", "1", "m", LONG.strip() + "."), (None, "d", "1", "m", ""), (8, "d", "1", None, "It ends"), (9, "d", "1", None, "It ends."), (10, "d", "1", "m", DE), (11, "d", "1", "m", "I refuse to judge that.")]
     got = sorted(((r.rec_id, r.defect) for r in defects.defects(spark.createDataFrame(rows, exp).withColumn("item", F.lit("z")), items).collect()), key=str)
-    assert got == sorted([(1, "echo"), (2, "echo"), (4, "empty"), (None, "empty")], key=str)
+    assert got == sorted([(1, "echo"), (2, "echo"), (4, "empty"), (None, "empty"), (8, "truncated"), (10, "language"), (11, "refusal")], key=str)
     assert defects.defects(spark.createDataFrame([], exp), items).count() == 0
-    assert defects.defects(spark.createDataFrame(rows, exp), spark.createDataFrame([], inst)).count() == 2
+    assert defects.defects(spark.createDataFrame(rows, exp), spark.createDataFrame([], inst)).count() == 4
 
 
 INST = "inst_id long, question string, candidate string, context array<string>"
@@ -105,6 +151,13 @@ def test_copies_against_brute_force(spark):
     assert kept == {g[0]: len(g) for g in groups.values()}
 
 
+def test_forms_that_share_a_code_stay_apart(spark, monkeypatch):
+    whole = formatting.code
+    monkeypatch.setattr(formatting, "code", lambda form, second=False: whole(form, True) if second else F.length(form).cast("bigint"))
+    rows = [(1, "ab", "x", ["q"]), (2, "A b", "x", ["Q"]), (3, "cd", "x", ["q"]), (4, "ab", "x", ["q", "q"]), (5, None, None, None), (6, "", "-", [])]
+    assert {tuple(r) for r in formatting.copies(spark.createDataFrame(rows, INST), "inst_id", ("question", "candidate"), ("context",)).collect()} == {(1, 2), (5, 6)}
+
+
 def test_edges_of_copies(spark):
     args = ("inst_id", ("question", "candidate"), ("context",))
     rows = [(1, None, None, None), (2, "", "--", []), (3, None, "", [None, " "]), (4, LONG, "a", None), (5, LONG.upper(), "A", [""]), (6, "a", None, None), (7, None, "a", None), (8, None, None, ["a"])]

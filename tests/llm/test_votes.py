@@ -59,8 +59,14 @@ def test_edges_of_consensus(spark):
     assert got == {"0": None, "1": 1, "2": None}  # two annotators tell nothing of each other: a tie has no consensus
     alike = spark.createDataFrame([(i, "d", str(i), i, 0, m, "c", "f", "p", 1) for i in range(3) for m in "abcd"], EXP)
     assert {r.consensus for r in consensus.consensus(alike).collect()} == {1} and consensus.agreement(alike).first().alpha is None
-    with pytest.raises(ValueError):
-        consensus.annotators(consensus.item_votes(alike), most=3)
+
+
+def test_third_moments_in_several_passes(spark):
+    _, _, exp = panel(spark, 400, 3)
+    votes = consensus.item_votes(exp)
+    names = consensus.annotators(votes)
+    one, many = consensus.solve(votes, names), consensus.solve(votes, names, most=2 * 64 * 3)
+    assert one["share"] == pytest.approx(many["share"]) and np.allclose(one["sensitivity"], many["sensitivity"])
 
 
 def brute_groups(pairs):
