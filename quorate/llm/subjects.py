@@ -217,6 +217,7 @@ def learned(rows: DataFrame, h: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
             np.add.at(total, (lang[at], terms), np.column_stack([w[at] * (count / fit)[:, None], count * np.log(count / fit)]))
 
         total = _gathered(rows, work, wide + 1)
+        sent.destroy()  # only one round's components lie on the executors' disks
         loss = float(total[:, :, wide].sum())
         h = h * total[:, :, :wide]
         h = h / (h.sum(1, keepdims=True) + 1e-9) + 1e-8
