@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quorate.functions.text import BLANK, strip
+
 #: Fixed value: how a verdict line names its verdict.
 VERDICT = r"(?i)verdict\s*[:\-]?\s*\**\s*(hallucinat\w*|support\w*|not\s*sure|unsure)"
 #: Fixed value: characters at the end of a text in which a verdict is looked for when no verdict line is there.
@@ -20,11 +22,17 @@ FINAL_1_10 = r"(?i)\bscores?\s*[:=]\s*(\d+(?:\.\d+)?)"
 CONTEXTS_1_10 = (r"\bscores?\s+(?:of|is|was|would\s+be|:|=)\s*", r"\brat(?:e|ed|ing)\s+(?:it\s+)?(?:a\s+|as\s+|of\s+)?")
 OUT_OF_10 = r"\s*(?:/|out\s+of)\s*10\b"
 
-#: Score from which each graded judge counts a text as supported.
+#: Score from which each graded judge counts a text as supported.
 THRESHOLDS = {"prometheus2": 3.0, "judgelm": 5.5, "autoj": 5.5}
 
 
+def _wide(pattern: str) -> str:
+    """A pattern whose blanks are those of Unicode."""
+    return pattern.replace(r"\s", BLANK)
+
+
 def _last(text: Column, pattern: str) -> Column:
+    pattern = _wide(pattern)
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
 
 
@@ -63,15 +71,15 @@ def parse_score(text: Column) -> Column:
     The first line that is not blank may begin with it; else the last valid ``score: n``; else, of a score, a rating
     and a number out of 10 named in the text, the one that ends last.  A list marker reads as a score.
     """
-    first = F.regexp_extract(F.regexp_replace(text, r"^\s+", ""), r"^([^\n\r]*)", 1)
-    lead = F.regexp_extract(F.trim(first), LEADING_1_10, 1)
-    finals = F.filter(F.regexp_extract_all(text, F.lit(FINAL_1_10), F.lit(1)), lambda v: v.cast("double").between(1, 10))
+    first = F.regexp_extract(F.regexp_replace(text, _wide(r"^\s+"), ""), r"^([^\n\r]*)", 1)
+    lead = F.regexp_extract(strip(first), _wide(LEADING_1_10), 1)
+    finals = F.filter(F.regexp_extract_all(text, F.lit(_wide(FINAL_1_10)), F.lit(1)), lambda v: v.cast("double").between(1, 10))
     valid = _1_10 + r"(?:[^\d.]|\.\D|\.$|$)"
     named = []
     for before in CONTEXTS_1_10:
-        pattern = r"(?is)^(.*" + before + ")" + valid
+        pattern = _wide(r"(?is)^(.*" + before + ")" + valid)
         named.append((F.length(F.regexp_extract(text, pattern, 1)) + F.length(F.regexp_extract(text, pattern, 2)), F.regexp_extract(text, pattern, 2)))
-    pattern = r"(?is)^(.*(?:^|[^\d.]))" + _1_10 + "(" + OUT_OF_10 + ")"
+    pattern = r"(?is)^(.*(?:^|[^\d.]))" + _1_10 + "(" + _wide(OUT_OF_10) + ")"
     named.append((F.length(F.regexp_extract(text, pattern, 1)) + F.length(F.regexp_extract(text, pattern, 2)) + F.length(F.regexp_extract(text, pattern, 3)), F.regexp_extract(text, pattern, 2)))
     best = F.array_max(F.filter(F.array(*[F.struct(end.alias("end"), v.cast("double").alias("value")) for end, v in [(e, F.nullif(v, F.lit(""))) for e, v in named]]), lambda s: s["value"].isNotNull()))["value"]
     return F.coalesce(F.nullif(lead, F.lit("")).cast("double"), F.try_element_at(finals, F.lit(-1)).cast("double"), best)
@@ -90,3 +98,25 @@ def specialist_label(supported: Column) -> Column:
 def choice_label(choice: Column) -> Column:
     """Label of a forced choice: Yes (1) is supported."""
     return 1 - choice
+
+
+#: How each graded judge writes a score: the highest for a supported text, the lowest for a hallucinated one, none for an undecided one.
+_MOCKS = {
+    "prometheus2": ("Feedback: it follows from the source. [RESULT] 5", "Feedback: it is made up. [RESULT] 1", "Feedback: it is hard to say."),
+    "judgelm": ("Score: 10\nIt follows from the source.", "Score: 1\nIt is made up.", "It is hard to say."),
+    "autoj": ("It follows from the source. Rating: [[10]]", "It is made up. Rating: [[1]]", "It is hard to say."),
+}
+SCORES = {"prometheus2": parse_result, "judgelm": parse_score, "autoj": parse_rating}
+
+
+def native_mock(judge: str, pred: Column) -> Column:
+    """What a graded judge would write for a label, in its own form."""
+    good, bad, none = _MOCKS[judge]
+    return F.when(pred == 0, good).when(pred == 1, bad).otherwise(none)
+
+
+def native_label(judge: str, text: Column) -> Column:
+    """Label of a graded judge's text: its score against its threshold."""
+    if judge not in SCORES:
+        raise ValueError(f"unknown graded judge {judge!r}")
+    return graded_label(SCORES[judge](text), THRESHOLDS[judge])

@@ -74,6 +74,20 @@ def claim_prompt(question: Column, context: Column, candidate: Column, has_conte
     return F.concat(F.lit(f"{CLAIM_INTRO}\n\n{REASON}\nVERDICT: <{OPTIONS}>\n\n# Document\n"), document(question, context, candidate, has_context), F.lit("\n\n# Claim\n"), strip(candidate), F.lit("\n"))
 
 
+#: Conditions, formats and paraphrases that a prompt can be asked for.
+CONDITIONS, FORMATS, PARAPHRASES = ("def_on", "claimcheck"), ("brief_reason",), ("p0",)
+
+
+def prompt(condition: str, question: Column, context: Column, candidate: Column, subject: Column, has_context: Column, label: Column, fmt: str = "brief_reason", paraphrase: str = "p0") -> Column:
+    """Prompt under a condition; an unknown condition, format or paraphrase is an error."""
+    for value, known in ((condition, CONDITIONS), (fmt, FORMATS), (paraphrase, PARAPHRASES)):
+        if value not in known:
+            raise ValueError(f"{value!r} is not among {known}")
+    if condition == "claimcheck":
+        return claim_prompt(question, context, candidate, has_context)
+    return qa_prompt(question, context, candidate, subject, has_context, label)
+
+
 def fewshot_block(question: Column, context: Column, candidate: Column, has_context: Column, label: Column, is_claim: Column, cap: int, answer: Column | None = None) -> Column:
     """Completion block of one item, ended by ``answer`` or left open.
 

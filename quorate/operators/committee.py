@@ -60,6 +60,12 @@ def sizes(n: int) -> list[int]:
     return sorted({k for k in range(1, n + 1, 2)} | {n})
 
 
+def masks(n: int, wanted: Sequence[int]) -> Column:
+    """One row per committee of the wanted sizes among ``n`` members; the list is a constant of the plan."""
+    listed = ",".join(str(m) for m in range(1, 1 << n) if m.bit_count() in set(wanted))
+    return F.explode(F.split(F.lit(listed), ",").cast("array<int>")).alias("mask")
+
+
 def frontier(experiment: DataFrame, roster: DataFrame, only: Sequence[int] | None = None) -> DataFrame:
     """Scores of every committee of each size at each tau, per dataset under its main condition.
 
@@ -71,8 +77,7 @@ def frontier(experiment: DataFrame, roster: DataFrame, only: Sequence[int] | Non
     items = panel_votes(experiment, panel).join(main_condition(experiment), ["dataset", "condition"])
     # Few bytes make many rows here, so patterns are dealt out over all tasks.
     patterns = items.groupBy("dataset", "voted", "ones", "gold").agg(F.count("*").alias("w")).repartition(workers(experiment.sparkSession))
-    mask = F.explode(F.sequence(F.lit(1), F.lit((1 << len(panel)) - 1))).alias("mask")
-    each = patterns.select("*", mask).where(F.bit_count("mask").isin(*wanted))
+    each = patterns.select("*", masks(len(panel), wanted))
     # Votes of a committee on a pattern: at most (k+1)(k+2)/2 outcomes, so a second grouping leaves little to score.
     # Mask, votes, ones and gold are one number, which is cheaper to group by than four.
     both = lambda c: F.bit_count(F.col(c).bitwiseAND(F.col("mask"))).cast("bigint")
@@ -86,6 +91,18 @@ def frontier(experiment: DataFrame, roster: DataFrame, only: Sequence[int] | Non
     return scored.select("dataset", "mask", k.alias("k"), "tau", (k * F.col("items")).alias("cost"), *metrics.scores())
 
 
+def item_votes(experiment: DataFrame, roster: DataFrame) -> DataFrame:
+    """What every member says of each item, as ``member=verdict`` in the panel's order, and the panel's decision without a threshold.
+
+    A member that is silent is written with ``-``, one without a row not at all.
+    """
+    panel = members(roster)
+    rows = first_rows(experiment.where(F.col("model").isin(*panel)))
+    said = F.struct("model", F.concat(F.col("model"), F.lit("="), F.coalesce(F.col("pred").cast("string"), F.lit("-"))).alias("text"))
+    per = rows.groupBy("dataset", "condition", "uid").agg(F.array_sort(F.collect_list(said)).alias("said"), F.count("pred").alias("n_votes"), F.coalesce(F.sum("pred"), F.lit(0)).alias("n_ones"))
+    return per.select("dataset", "condition", "uid", F.array_join("said.text", " ").alias("votes"), decision(F.col("n_ones"), F.col("n_votes"), 0.0).alias("decision"))
+
+
 def member_names(panel: Sequence[str], mask: Column) -> Column:
     """Names of a committee, joined by commas in the panel's order."""
     return F.concat_ws(",", *[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, m) for i, m in enumerate(panel)])
@@ -119,8 +136,7 @@ def committee_agreement(experiment: DataFrame, roster: DataFrame, k: int = 3) ->
     """Fleiss' kappa of every committee of ``k`` members over the items all of them judged, per dataset under its main condition."""
     panel = members(roster)
     patterns = panel_votes(experiment, panel).join(main_condition(experiment), ["dataset", "condition"]).groupBy("dataset", "voted", "ones").count().repartition(workers(experiment.sparkSession))
-    mask = F.explode(F.sequence(F.lit(1), F.lit((1 << len(panel)) - 1))).alias("mask")
-    each = patterns.select("*", mask).where((F.bit_count("mask") == k) & (F.col("voted").bitwiseAND(F.col("mask")) == F.col("mask")))
+    each = patterns.select("*", masks(len(panel), [k])).where(F.col("voted").bitwiseAND(F.col("mask")) == F.col("mask"))
     ones, w = F.bit_count(F.col("ones").bitwiseAND(F.col("mask"))), F.col("count")
     agg = each.groupBy("dataset", "mask").agg(F.sum(w).alias("n_full"), F.sum(w * ones).alias("s1"), F.sum(w * (ones * ones + (k - ones) * (k - ones))).alias("s2"))
     return agg.select("dataset", "mask", "n_full", metrics.fleiss(F.lit(k), F.col("n_full"), F.col("s1"), F.col("s2")).alias("fleiss_kappa"))

@@ -9,24 +9,20 @@ from pyspark.sql import functions as F
 
 from quorate.functions.metrics import ratio
 
-#: Price list per million tokens in and out by prefix of a model's name; a parameter, here for the panel of the test data.
-RATES = {"kettle/": (0.2, 0.6), "kettle/steam-12b": (0.5, 1.5), "lumen-lab/": (0.3, 0.9), "halden/rook": (0.15, 0.45), "northfen/tern-8b": (0.25, 0.75)}
-
-
 def words(text: Column) -> Column:
     """Words of a text, standing in for its tokens; 0 for null and blank ones."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
 
 def rate(model: Column, rates: Mapping[str, tuple[float, float]], which: int) -> Column:
-    """Rate of the longest prefix that a model's name begins with; null if none does."""
+    """Rate per million tokens (in 0, out 1) of the longest prefix that a model's name begins with; null if none does."""
     found: Column = F.lit(None).cast("double")
     for prefix in sorted(rates, key=len):
         found = F.when(model.startswith(prefix), F.lit(rates[prefix][which])).otherwise(found)
     return found
 
 
-def usage(calls: DataFrame, rates: Mapping[str, tuple[float, float]] = RATES, by: tuple[str, ...] = ("dataset", "model")) -> DataFrame:
+def usage(calls: DataFrame, rates: Mapping[str, tuple[float, float]], by: tuple[str, ...] = ("dataset", "model")) -> DataFrame:
     """Calls, tokens in and out, per item, and cost in total and per thousand calls; unknown models have no cost.
 
     ``calls`` has model, tokens_in and tokens_out.  Costs are not rounded.
@@ -40,3 +36,14 @@ def throughput(timed: DataFrame, by: str = "model") -> DataFrame:
     """Calls, mean seconds and the harmonic mean of items per second; times of zero or less are left out."""
     kept = timed.where("seconds > 0")
     return kept.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.round(F.count("*") / F.sum("seconds"), 6).alias("items_per_second"))
+
+
+def api_usage(calls: DataFrame, by: str) -> DataFrame:
+    """Calls, errors, tokens in and out with their means per call to two places, and seconds to one, per ``by``.
+
+    ``calls`` has failed (flag), tokens_in, tokens_out and seconds; nulls count as nothing.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    per = calls.groupBy(by).agg(F.count("*").alias("calls"), F.count_if("failed").alias("api_errors"), total("tokens_in").alias("input_tokens"), total("tokens_out").alias("output_tokens"), F.round(total("seconds"), 1).alias("wall_seconds"))
+    each = lambda c: F.round(F.col(c) / F.col("calls"), 2).alias(f"{c}_per_item")
+    return per.select("*", each("input_tokens"), each("output_tokens"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorate.functions.prompts import condition, frame
 from quorate.operators.drift import json_objects
 
 #: Harnesses whose label field is the frame, those that write one file per judge, and what a vintage may lack.
@@ -33,6 +34,31 @@ def shard_schema(lines: DataFrame, key: str = "src_key") -> DataFrame:
     return files.select("stream", "file_id", "n_rows", "n_with", state.alias("state")).join(streams, "stream")
 
 
+def mismatch(recorded: Column, expected: Column, kind: Column) -> Column:
+    """Why a file does not hold what it should, null where it does: the read-only form of ``decide``.
+
+    An absent file, an honoured vintage and rows without labels that may still go on are no mismatch.
+    """
+    none = F.size(recorded) == 0
+    vintage = none & ((kind == "minicheck") | ((kind == "ptjudge") & (expected == F.array(F.lit("qa")))))
+    fine = recorded.isNull() | vintage | (none & ~kind.isin(*SIDECARS)) | (F.array_sort(recorded) == F.array_sort(expected))
+    held = F.when(none, "nothing").otherwise(F.array_join(F.array_sort(recorded), ","))
+    return F.when(~fine, F.concat(F.lit("holds "), held, F.lit(", expected "), F.array_join(F.array_sort(expected), ",")))
+
+
+def scan(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """Files (path, dataset, tag, recorded) that do not hold what their judge should have written there: path and why.
+
+    ``registry`` has tag, harness and contrast (whether the judge has such an arm); it is a small fixed table.  A tag may
+    end with the mark of the contrast arm; files of unknown judges, and contrast files of judges without one, are skipped.
+    """
+    contrast = F.col("tag").endswith("_defon")
+    named = files.select("path", "dataset", "recorded", contrast.alias("apart"), F.regexp_replace("tag", "_defon$", "").alias("tag"))
+    rows = named.join(registry.select("tag", "harness", "contrast"), "tag").where("NOT apart OR contrast")
+    want = F.when(F.col("apart"), "def_on").when(F.col("harness") == "judge", condition(F.col("dataset"))).when(F.col("harness") == "ptjudge", frame(F.col("dataset"))).otherwise("claimcheck")
+    return rows.select("path", mismatch(F.col("recorded"), F.array(want), F.col("harness")).alias("why")).where("why IS NOT NULL")
+
+
 def decide(recorded: Column, expected: Column, kind: Column, skip_on_match: Column, force: Column) -> Column:
     """``run``, ``skip`` or ``refuse``.
 

@@ -1,4 +1,4 @@
-"""The plan of a panel run and its deterministic stand-in for inference."""
+"""The plan of a panel run, how far it has come, and the boundary to inference."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions.prompts import condition
-from quorate.operators.verdicts import mock_pred
 
 
 def run_plan(items: DataFrame, models: Sequence[str], fmt: str = "brief_reason", paraphrase: str = "p0") -> DataFrame:
@@ -18,11 +17,11 @@ def run_plan(items: DataFrame, models: Sequence[str], fmt: str = "brief_reason",
     return items.select("dataset", "uid", "row_id", "kind", "gold", "stratum", "category", each).select("*", "m.*").drop("m").withColumns({"condition": condition(F.col("dataset")), "fmt": F.lit(fmt), "paraphrase": F.lit(paraphrase)})
 
 
-def mock_verdicts(plan: DataFrame) -> DataFrame:
-    """The plan with pred and raw of the mock judge."""
-    pred = mock_pred(F.col("gold"), F.col("model"), F.col("dataset"), F.col("uid"), F.col("condition"))
-    raw = F.when(pred.isNull(), "VERDICT: not sure").when(pred == 1, "Checked.\nVERDICT: HALLUCINATED").otherwise("Checked.\nVERDICT: SUPPORTED")
-    return plan.select("*", pred.alias("pred"), raw.alias("raw"))
+def progress(plan: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per dataset and model: generations planned, recorded (once or more) and still to make."""
+    key = ["dataset", "uid", "model", "condition", "fmt", "paraphrase"]
+    done = verdicts.select(*key).distinct().withColumn("done", F.lit(1))
+    return plan.join(done, key, "left").groupBy("dataset", "model_idx", "model").agg(F.count("*").alias("n_planned"), F.count("done").alias("n_recorded"), F.count_if(F.col("done").isNull()).alias("n_missing"))
 
 
 def generate(plan: DataFrame, answer: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:

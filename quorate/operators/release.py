@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions.text import content_key
+from quorate.plans.lineage import cut
 
 #: Lines whose digests are put together at once.
 CHUNK = 1000
@@ -72,6 +73,61 @@ def lock_check(lock: DataFrame, present: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state")).where("state IS NOT NULL")
 
 
+def lock_guard(lock: DataFrame, present: DataFrame, force: bool = False, shown: int = 5) -> DataFrame:
+    """One row: whether ``present`` may be locked in place of ``lock`` (path, sha256), ``write`` or ``refuse``, and why.
+
+    Recorded files that are missing or whose content changed are counted, and the first ``shown`` missing paths named;
+    new files are no reason.  Nothing recorded, or force, lets it write.
+    """
+    states = cut(lock_check(lock, present))
+    counts = states.agg(F.count_if(F.col("state") == "missing").alias("n_missing"), F.count_if(F.col("state") == "changed").alias("n_changed"), F.lit("").alias("missing"))
+    first = states.where("state = 'missing'").orderBy("path").limit(shown).agg(F.lit(None).cast("bigint").alias("n_missing"), F.lit(None).cast("bigint").alias("n_changed"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("missing"))
+    one = counts.unionByName(first).agg(*[F.max(c).alias(c) for c in counts.columns])
+    bad = (F.col("n_missing") > 0) | (F.col("n_changed") > 0)
+    return one.select("*", F.when(bad & F.lit(not force), "refuse").otherwise("write").alias("decision"))
+
+
+def mirror_check(manifest: DataFrame, mirror: DataFrame, expected: DataFrame) -> DataFrame:
+    """Files of an export that are not as they should be: path and state.
+
+    ``manifest`` and ``mirror`` have path and sha256, ``expected`` the paths of the source tree.  A recorded file is
+    ``missing`` or ``changed`` in the mirror, an ``orphan`` if the tree has it no more; a file of the tree that was
+    never recorded is ``unexported``.  A file can have two states.
+    """
+    all_ = (
+        manifest.select("path", F.col("sha256").alias("said")).join(mirror.select("path", F.col("sha256").alias("now"), F.lit(True).alias("there")), "path", "full_outer")
+        .join(expected.select("path", F.lit(True).alias("wanted")).distinct(), "path", "full_outer")
+    )
+    recorded = F.col("said").isNotNull()
+    states = F.array_compact(F.array(
+        F.when(recorded & F.col("there").isNull(), "missing").when(recorded & (F.col("said") != F.col("now")), "changed"),
+        F.when(recorded & F.col("wanted").isNull(), "orphan").when(~recorded & F.col("wanted").isNotNull(), "unexported"),
+    ))
+    return all_.select("path", F.explode(states).alias("state"))
+
+
+def export_guard(lock: DataFrame, present: DataFrame, mirrored: str | None, incoming: str | None, force: bool = False) -> str:
+    """``write``, or why an export must not replace the mirror of release ``mirrored`` (None where there is none).
+
+    The lock must describe the tree file for file, and its release must be the mirror's.
+    """
+    if force or mirrored is None:
+        return "write"
+    if not lock_check(lock, present).isEmpty():
+        return "refuse: the lock does not describe the tree"
+    return "write" if mirrored == incoming else "refuse: the mirror holds another release"
+
+
+def index_digest(items: DataFrame) -> DataFrame:
+    """One row: the digest over the names of all data sets and the digests of their index lines, in the names' order."""
+    key = content_key(F.col("question"), F.col("context"), F.col("candidate"))
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = items.select("dataset", F.concat_ws("|", none("uid"), none("row_id"), none("kind"), none("gold"), none("stratum"), none("category"), key).alias("line"))
+    sets = tree_digest(lines, ["dataset"], "line")
+    listed = F.array_sort(F.collect_list(F.struct("dataset", "digest")))  # one entry per data set
+    return sets.agg(F.count("*").alias("n_sets"), F.sha2(F.array_join(F.transform(listed, lambda x: F.concat(x["dataset"], x["digest"])), ""), 256).alias("digest"))
+
+
 def is_measurement(name: Column) -> Column:
     """Whether a file holds verdicts or a judge's summary, and is no comparison derived from them."""
     return name.endswith(".jsonl") | (name.startswith("judge_") & name.endswith(".json") & ~name.startswith("judge_pair_"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorate.operators.ranks import numbered
+from quorate.plans.config import deprecated
+
 #: Marks that stand for a blank at the start of a vocabulary piece.
 MARKERS = "▁ĠĊ"
 
@@ -21,6 +24,12 @@ def choice_ids(vocabulary: DataFrame, words: Sequence[str]) -> DataFrame:
     return vocabulary.where(plain(F.col("piece")).isin(*[w.strip().lower() for w in words])).select("id").distinct()
 
 
+def allowed_ids(vocabulary: DataFrame, *classes: Sequence[str]) -> DataFrame:
+    """All ids that any class of words allows (id and position in the sorted list, from 0), each once."""
+    every = choice_ids(vocabulary, [w for words in classes for w in words])
+    return numbered(every.withColumn("g", F.lit(1)), ["g"], ["id"], "position").select("id", "position")
+
+
 def by_mass(candidates: DataFrame, key: str, yes: Sequence[str] = ("Yes",), no: Sequence[str] = ("No",)) -> DataFrame:
     """Choice by the summed probability of either class: key, p_yes and choice; null where neither class has any.
 
@@ -33,6 +42,7 @@ def by_mass(candidates: DataFrame, key: str, yes: Sequence[str] = ("Yes",), no:
     return both.select(key, p.alias("p_yes"), F.when(p >= 0.5, 1).when(p < 0.5, 0).alias("choice"))
 
 
+@deprecated("by_mass counts all that either class has")
 def by_best(candidates: DataFrame, key: str, yes: Sequence[str] = ("Yes",), no: Sequence[str] = ("No",), marked: bool = True) -> DataFrame:
     """Choice by the best log-probability of either class (superseded by ``by_mass``).
 

@@ -20,10 +20,14 @@ def first_rows(experiment: DataFrame, key: tuple[str, ...] = KEY, by: str = "rec
     return experiment.groupBy(*key).agg(*[F.min_by(c, by).alias(c) for c in ("pred", "gold", "row_id")])
 
 
-def coverage(experiment: DataFrame, by: tuple[str, ...] = ("dataset", "model", "condition"), least: float = 0.999) -> DataFrame:
-    """Rows, distinct items, verdicts and coverage per group, and whether it falls short of ``least``.  Every row counts."""
+def coverage(experiment: DataFrame, by: tuple[str, ...] = ("dataset", "model", "condition"), least: float = 0.999, also: str | None = None) -> DataFrame:
+    """Rows, distinct items, verdicts and coverage per group, and whether it falls short of ``least``.  Every row counts.
+
+    With ``also``, the rows that have a value in that column are counted too (``n_also``).
+    """
     n, said = F.count("*"), F.count("pred")
-    return experiment.groupBy(*by).agg(n.alias("n_rows"), F.count_distinct("uid").alias("n_uids"), said.alias("n_pred"), metrics.ratio(said, n).alias("coverage"), (metrics.ratio(said, n) < least).cast("int").alias("is_low"))
+    more = [F.count(also).alias("n_also")] if also else []
+    return experiment.groupBy(*by).agg(n.alias("n_rows"), F.count_distinct("uid").alias("n_uids"), said.alias("n_pred"), *more, metrics.ratio(said, n).alias("coverage"), (metrics.ratio(said, n) < least).cast("int").alias("is_low"))
 
 
 def coverage_rollup(experiment: DataFrame) -> DataFrame:
@@ -61,7 +65,8 @@ def member_gate(experiment: DataFrame, least: float = 0.95) -> DataFrame:
     """Whether each panel member of a dataset may be assembled.
 
     Checked over all its rows: the expected condition and no other, no item recorded twice, coverage, and the same
-    items as the other members (``n_uids`` against the most that any member has).
+    items as the other members: a member's set of items lies within that of all members, so both are the same if they
+    have equally many (``n_uids`` and ``n_all``).
     """
     want = condition(F.col("dataset"))
     rows = experiment.where(F.col("condition") == want)
@@ -78,11 +83,3 @@ def member_gate(experiment: DataFrame, least: float = 0.95) -> DataFrame:
 def votes_only(experiment: DataFrame, drop: tuple[str, ...] = ("raw",)) -> DataFrame:
     """The verdict table without the texts; columns that are not there are no error."""
     return experiment.drop(*drop)
-
-
-def mock_pred(gold: Column, *key: Column) -> Column:
-    """Deterministic stand-in for a judge: wrong in a share of the draws, silent in one of fifty; null gold gives null."""
-    from quorate.functions.text import point
-
-    u = point(*key) / F.lit(4294967296.0)
-    return F.when(point(F.lit("abs"), *key) % 50 == 0, None).when(u > 0.15, gold).otherwise(1 - gold)

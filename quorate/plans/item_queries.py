@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import prompts
 from quorate.functions.text import content_key
-from quorate.operators import compare, guard, panel, release
+from quorate.operators import compare, guard, release
 from quorate.plans.lineage import cut, shared_folder, spread
 from quorate.sinks import files
 from quorate.sources import builders
@@ -40,10 +40,14 @@ def _by_row(items: DataFrame) -> DataFrame:
     return items.where("row_id IS NOT NULL").groupBy(F.col("row_id").alias("pos")).agg(pick("question"), pick("context"), pick("stratum"), pick("category"), side("pos").alias("good"), side("neg").alias("bad"))
 
 
-def pair_rows(spark: SparkSession, d: str) -> DataFrame:
+def medhallu_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _by_row(_of(spark, d, "medhallu"))
     at = lambda c: F.try_element_at(F.col(c), F.lit(1))
-    return _flat(builders.paired_rows(rows.select("pos", "question", "context", at("good").alias("truth"), at("bad").alias("hallucinated"), F.col("stratum").alias("difficulty"), "category").where("truth IS NOT NULL AND hallucinated IS NOT NULL")))
+    return rows.select("pos", "question", "context", at("good").alias("truth"), at("bad").alias("hallucinated"), F.col("stratum").alias("difficulty"), "category").where("truth IS NOT NULL AND hallucinated IS NOT NULL")
+
+
+def pair_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(builders.paired_rows(medhallu_rows(spark, d)))
 
 
 def best_or_first(spark: SparkSession, d: str) -> DataFrame:
@@ -52,9 +56,12 @@ def best_or_first(spark: SparkSession, d: str) -> DataFrame:
     return _flat(builders.best_or_first(rows.select("pos", "question", best.alias("best"), F.col("good").alias("correct"), F.col("bad").alias("incorrect"), F.col("stratum").alias("type"), "category")))
 
 
+def ragtruth_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _of(spark, d, "ragtruth").select(F.col("inst_id").alias("pos"), F.col("question").alias("query"), "context", F.col("candidate").alias("output"), (F.col("gold") == 1).alias("faulty"))
+
+
 def first_per_group_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _of(spark, d, "ragtruth").select(F.col("inst_id").alias("pos"), F.col("question").alias("query"), "context", F.col("candidate").alias("output"), (F.col("gold") == 1).alias("faulty"))
-    return _flat(builders.first_pairs(rows))
+    return _flat(builders.first_pairs(ragtruth_rows(spark, d)))
 
 
 def nested_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +71,12 @@ def nested_facts(spark: SparkSession, d: str) -> DataFrame:
     return _flat(builders.nested_facts(rows))
 
 
+def expertqa_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _of(spark, d, "aggrefact_expertqa").select(F.col("inst_id").alias("pos"), F.array_join(F.coalesce("context", F.array().cast("array<string>")), " ").alias("doc"), F.col("candidate").alias("claim"), (1 - F.col("gold")).alias("label"))
+
+
 def balanced_subsample(spark: SparkSession, d: str) -> DataFrame:
-    rows = _of(spark, d, "aggrefact_expertqa").select(F.col("inst_id").alias("pos"), F.array_join(F.coalesce("context", F.array().cast("array<string>")), " ").alias("doc"), F.col("candidate").alias("claim"), (1 - F.col("gold")).alias("label"))
-    return _flat(builders.balanced_claims(rows, "aggrefact-expertqa"))
+    return _flat(builders.balanced_claims(expertqa_rows(spark, d), "aggrefact-expertqa"))
 
 
 def exemplar_exclusion(spark: SparkSession, d: str) -> DataFrame:
@@ -96,16 +106,16 @@ def keyed_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return compare.keyed_verdicts(table(spark, d, "experiment"), _items(spark, d))
 
 
-def _with_task(spark: SparkSession, d: str) -> DataFrame:
+def with_task(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).join(F.broadcast(table(spark, d, "task_specs")), "dataset")  # the fixed table of sets
 
 
 def prompt_render_qa(spark: SparkSession, d: str) -> DataFrame:
-    return _with_task(spark, d).select("inst_id", prompts.qa_prompt(*[F.col(c) for c in ("question", "context", "candidate", "subject_phrase", "has_context")], F.coalesce("context_label", F.lit(""))).alias("prompt"))
+    return with_task(spark, d).select("inst_id", prompts.qa_prompt(*[F.col(c) for c in ("question", "context", "candidate", "subject_phrase", "has_context")], F.coalesce("context_label", F.lit(""))).alias("prompt"))
 
 
 def prompt_render_claim(spark: SparkSession, d: str) -> DataFrame:
-    return _with_task(spark, d).select("inst_id", prompts.claim_prompt(*[F.col(c) for c in ("question", "context", "candidate", "has_context")]).alias("prompt"))
+    return with_task(spark, d).select("inst_id", prompts.claim_prompt(*[F.col(c) for c in ("question", "context", "candidate", "has_context")]).alias("prompt"))
 
 
 def fewshot_block(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +123,7 @@ def fewshot_block(spark: SparkSession, d: str) -> DataFrame:
     claim = prompts.frame(F.col("dataset")) == "claimcheck"
     answer = F.when(F.col("gold") == 0, "Yes").otherwise("No")
     label = F.coalesce("context_label", F.lit(""))
-    return _with_task(spark, d).select("inst_id", prompts.fewshot_block(*args, label, claim, prompts.EXEMPLAR_CHARS, answer).alias("exemplar"), prompts.fewshot_block(*args, label, claim, prompts.QUERY_CHARS).alias("query"))
+    return with_task(spark, d).select("inst_id", prompts.fewshot_block(*args, label, claim, prompts.EXEMPLAR_CHARS, answer).alias("exemplar"), prompts.fewshot_block(*args, label, claim, prompts.QUERY_CHARS).alias("query"))
 
 
 def fewshot_prompt(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +131,7 @@ def fewshot_prompt(spark: SparkSession, d: str) -> DataFrame:
     args = [F.col(c) for c in ("question", "context", "candidate", "has_context")]
     claim, label = prompts.frame(F.col("dataset")) == "claimcheck", F.coalesce("context_label", F.lit(""))
     answer = F.when(F.col("gold") == 0, "Yes").otherwise("No")
-    items, chosen = _with_task(spark, d), builders.exemplars(_items(spark, d))
+    items, chosen = with_task(spark, d), builders.exemplars(_items(spark, d))
     shots = builders.exemplar_blocks(items.withColumn("block", prompts.fewshot_block(*args, label, claim, prompts.EXEMPLAR_CHARS, answer)), chosen)
     query = prompts.fewshot_block(*args, label, claim, prompts.QUERY_CHARS)
     rows = builders.without_exemplars(items, chosen).join(F.broadcast(shots), "dataset", "left")  # one row per set
@@ -131,7 +141,7 @@ def fewshot_prompt(spark: SparkSession, d: str) -> DataFrame:
 def native_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts of the three graded judges in both frames."""
     args = [F.col(c) for c in ("question", "context", "candidate", "has_context")]
-    return _with_task(spark, d).select("inst_id", *[build(*args, claim).alias(f"{judge}_{frame}") for judge, build in prompts.NATIVE.items() for frame, claim in (("qa", False), ("claimcheck", True))])
+    return with_task(spark, d).select("inst_id", *[build(*args, claim).alias(f"{judge}_{frame}") for judge, build in prompts.NATIVE.items() for frame, claim in (("qa", False), ("claimcheck", True))])
 
 
 def specialist_pair(spark: SparkSession, d: str) -> DataFrame:
@@ -186,13 +196,6 @@ def run_signature(spark: SparkSession, d: str) -> DataFrame:
     return release.run_signature(_items(spark, d), ["def_on brief_reason p0"], models, 4096)
 
 
-def mock_run(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage and errors of a mock run of the whole panel over all items."""
-    models = [r["model"] for r in table(spark, d, "panel_roster").orderBy("panel_idx").collect()]
-    rows = panel.mock_verdicts(panel.run_plan(_items(spark, d), models))
-    return rows.groupBy("dataset", "model_idx", "model").agg(F.count("*").alias("n"), F.count("pred").alias("n_pred"), F.count_if(F.col("pred") != F.col("gold")).alias("n_wrong"))
-
-
 def votes_export(spark: SparkSession, d: str) -> DataFrame:
     """The verdicts as they come back from a votes-only export."""
     path = f"{shared_folder(spark)}/votes-{uuid.uuid4().hex}"
@@ -204,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_rows, best_or_first, first_per_group_pairs, nested_facts, balanced_subsample, exemplar_exclusion, content_keys, index_manifest, join_drift, verdict_drift, keyed_verdicts,
-        prompt_render_qa, prompt_render_claim, fewshot_block, fewshot_prompt, native_prompts, specialist_pair, fit_prompt, file_digests, release_digest, lock_check, guard_decisions, shard_schema, run_signature, mock_run, votes_export,
+        prompt_render_qa, prompt_render_claim, fewshot_block, fewshot_prompt, native_prompts, specialist_pair, fit_prompt, file_digests, release_digest, lock_check, guard_decisions, shard_schema, run_signature, votes_export,
     )
 }
 
@@ -313,8 +316,8 @@ SQL = {
     "CASE WHEN len(rec) = 0 AND NOT vintage AND kind = 'panel' THEN 'run' WHEN NOT vintage AND rec <> [want] THEN 'refuse' WHEN kind <> 'panel' AND file_id % 7 <> 0 THEN 'skip' ELSE 'run' END AS decision FROM h",
     "run_signature": f"WITH x AS (SELECT dataset, uid || ' ' || {_sha()} AS line FROM instances), {_tree('dataset')} "
     "SELECT dataset, sha256('def_on brief_reason p0|' || (SELECT string_agg(model, '|' ORDER BY panel_idx) FROM panel_roster) || '|4096' || chr(10) || digest) AS signature FROM t0",
-    "mock_run": f"WITH x AS (SELECT dataset, panel_idx AS model_idx, model, gold, model || '|' || dataset || '|' || uid || '|' || {_COND} AS k FROM instances, panel_roster), "
-    f"y AS (SELECT *, CASE WHEN {_POINT.format(chr(39) + 'abs|' + chr(39) + ' || k')} % 50 = 0 THEN NULL WHEN {_POINT.format('k')} / 4294967296.0::DOUBLE > 0.15 THEN gold ELSE 1 - gold END AS pred FROM x) "
-    "SELECT dataset, model_idx, model, count(*) AS n, count(pred) AS n_pred, count(*) FILTER (WHERE pred <> gold) AS n_wrong FROM y GROUP BY ALL",
+    "shard_schema": "WITH x AS (SELECT stream, file_id, json_extract(payload, '$.src_key') IS NOT NULL AS has FROM shard_lines WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'), "
+    "f AS (SELECT stream, file_id, count(*) AS n_rows, count(*) FILTER (WHERE has) AS n_with FROM x GROUP BY ALL), s AS (SELECT stream, sum(n_with) IN (0, sum(n_rows)) AS stream_pure FROM f GROUP BY stream) "
+    "SELECT stream, file_id, n_rows, n_with, CASE WHEN n_with = n_rows THEN 'with' WHEN n_with = 0 THEN 'without' ELSE 'mixed' END AS state, stream_pure FROM f JOIN s USING (stream)",
     "votes_export": "SELECT rec_id, uid, model, condition, pred, dataset FROM experiment",
 }

@@ -15,9 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; a local temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
-    return named.rstrip("/")
+    """This application's own folder within the session's shared one; it goes when the application ends.
+
+    A local temporary folder stands in only where the session names none and runs on one machine (tests); on a cluster
+    a missing ``spark.checkpoint.dir`` is an error, as every executor would write to a disk of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        return _own_folder(context.applicationId)
+    folder = f"{named.rstrip('/')}/quorate-{context.applicationId}"
+    _removed_at_end(spark, folder)
+    return folder
+
+
+_FOLDERS: set[str] = set()
+
+
+def _removed_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the file system remove ``folder`` when the application's JVM ends."""
+    if folder not in _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _FOLDERS.add(folder)
 
 
 @functools.cache

@@ -123,43 +123,51 @@ def graded_parse_autoj(spark: SparkSession, d: str) -> DataFrame:
     return _graded(spark, d, "autoj", parsers.parse_rating)
 
 
-_PIECES = ("▁Yes", "yes", " Yes", "No", "▁no", "Ġno", "Maybe")
+#: Pieces of a vocabulary that read as the two answers, each with its share of the answer's probability.
+_PIECES = (("▁Yes", 1, 0.75), ("yes", 1, 0.25), ("Ġno", 0, 0.6), ("No", 0, 0.3), ("Maybe", 0, 0.1))
+#: Price list per million tokens in and out, by prefix of a model's name.
+RATES = {"kettle/": (0.2, 0.6), "kettle/steam-12b": (0.5, 1.5), "lumen-lab/": (0.3, 0.9), "halden/rook": (0.15, 0.45), "northfen/tern-8b": (0.25, 0.75)}
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Four first-token candidates for each record, with log-probabilities drawn from its number."""
-    from quorate.functions.text import point
+    """First-token candidates of each recorded line with a probability of Yes, with the log-probabilities that it gives them."""
+    from quorate.operators.drift import json_objects
 
-    slot = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("slot")
-    each = spread(_exp(spark, d).select("rec_id")).select("rec_id", slot)
-    pick = (point("piece", F.col("rec_id"), F.col("slot")) % len(_PIECES)).cast("int") + 1
-    return each.select("rec_id", F.element_at(F.array(*[F.lit(p) for p in _PIECES]), pick).alias("piece"), (-5.0 * point("lp", F.col("rec_id"), F.col("slot")) / F.lit(4294967296.0)).alias("logprob"))
+    lines = json_objects(table(spark, d, "shard_lines").select("file_id", "line_no", "payload"))
+    p = F.try_variant_get("object", "$.prob_yes", "double")
+    told = spread(lines.select(F.concat_ws(":", "file_id", "line_no").alias("line"), p.alias("p")).where("p > 0 AND p < 1").distinct())
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("piece"), F.log((F.col("p") if yes else 1 - F.col("p")) * F.lit(share)).alias("logprob")) for w, yes, share in _PIECES])).alias("c")
+    return told.select("line", each).select("line", "c.*")
 
 
 def constrained_choice(spark: SparkSession, d: str) -> DataFrame:
-    return scorer.by_mass(_candidates(spark, d), "rec_id").withColumn("label", parsers.choice_label(F.col("choice")))
+    return scorer.by_mass(_candidates(spark, d), "line").withColumn("label", parsers.choice_label(F.col("choice")))
 
 
 def best_choice(spark: SparkSession, d: str) -> DataFrame:
-    return scorer.by_best(_candidates(spark, d), "rec_id")
+    return scorer.by_best(_candidates(spark, d), "line")
 
 
 def marked_choice(spark: SparkSession, d: str) -> DataFrame:
-    return scorer.by_best(_candidates(spark, d), "rec_id", marked=False)
+    return scorer.by_best(_candidates(spark, d), "line", marked=False)
 
 
-def choice_tokens(spark: SparkSession, d: str) -> DataFrame:
+def word_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """A vocabulary (piece, id): the words of all texts, each also with the marks of two tokenizers."""
     pieces = _exp(spark, d).select(F.explode(F.split("raw", r"[ \n]")).alias("w")).where("w <> ''").distinct()
     marked = pieces.select(F.explode(F.array(F.col("w"), F.concat(F.lit("▁"), "w"), F.concat(F.lit("Ġ"), "w"))).alias("piece"))
-    vocabulary = marked.select("piece", F.md5("piece").alias("id"))
-    return scorer.choice_ids(vocabulary, ("Supported", "HALLUCINATED"))
+    return marked.select("piece", F.md5("piece").alias("id"))
+
+
+def choice_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return scorer.choice_ids(word_pieces(spark, d), ("Supported", "HALLUCINATED"))
 
 
 def usage_cost(spark: SparkSession, d: str) -> DataFrame:
     w = cost.words
     items = table(spark, d, "instances").select("dataset", "uid", (w(F.col("question")) + w(F.col("candidate")) + w(F.array_join(F.coalesce("context", F.array().cast("array<string>")), " "))).alias("tokens_in"))
     calls = _exp(spark, d).select("dataset", "uid", "model", w(F.col("raw")).alias("tokens_out")).join(items, ["dataset", "uid"])
-    return cost.usage(calls)
+    return cost.usage(calls, RATES)
 
 
 def harmonic_throughput(spark: SparkSession, d: str) -> DataFrame:
@@ -244,21 +252,22 @@ _AFTER = r"(?:[^\d.]|\.\D|\.$|$)"
 _CTX = [rf"(?is)^(.*\bscores?\s+(?:of|is|was|would\s+be|:|=)\s*){_NUM}{_AFTER}()", rf"(?is)^(.*\brat(?:e|ed|ing)\s+(?:it\s+)?(?:a\s+|as\s+|of\s+)?){_NUM}{_AFTER}()", rf"(?is)^(.*(?:^|[^\d.])){_NUM}(\s*(?:/|out\s+of)\s*10\b)"]
 _NAMED = ", ".join("{'e': " + " + ".join(f"length(regexp_extract(text, '{p}', {g}))" for g in (1, 2, 3)) + f", 'v': try_cast(regexp_extract(text, '{p}', 2) AS DOUBLE)}}" for p in _CTX)
 _CAND = (
-    "c AS (SELECT rec_id, [" + ", ".join(f"'{p}'" for p in _PIECES) + "][" + _POINT.format("'piece|' || rec_id || '|' || slot") + f" % {len(_PIECES)} + 1] AS piece, "
-    "-5.0::DOUBLE * " + _POINT.format("'lp|' || rec_id || '|' || slot") + " / 4294967296.0::DOUBLE AS lp FROM experiment, range(4) AS s(slot)), "
-    r"p AS (SELECT rec_id, lp, lower(regexp_replace(translate(piece, '▁ĠĊ', '   '), '^\s+|\s+$', '', 'g')) AS word, lower(regexp_replace(piece, '^\s+|\s+$', '', 'g')) AS bare FROM c)"
+    "l AS (SELECT DISTINCT file_id || ':' || line_no AS line, try_cast(json_extract_string(payload, '$.prob_yes') AS DOUBLE) AS p FROM shard_lines WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'), "
+    "c AS (SELECT line, w.piece, ln((CASE WHEN w.yes = 1 THEN p ELSE 1 - p END) * w.share) AS lp FROM l, (VALUES " + ", ".join(f"('{w}', {y}, {s}::DOUBLE)" for w, y, s in _PIECES) + ") AS w(piece, yes, share) WHERE p > 0 AND p < 1), "
+    r"p AS (SELECT line, lp, lower(regexp_replace(translate(piece, '▁ĠĊ', '   '), '^\s+|\s+$', '', 'g')) AS word, lower(regexp_replace(piece, '^\s+|\s+$', '', 'g')) AS bare FROM c)"
 )
 
 
 def _best(word: str) -> str:
     return (
-        f"WITH {_CAND}, b AS (SELECT rec_id, max(CASE WHEN {word} = 'yes' THEN lp END) AS y, max(CASE WHEN {word} = 'no' THEN lp END) AS n FROM p GROUP BY rec_id), "
-        "q AS (SELECT rec_id, CASE WHEN y IS NULL AND n IS NULL THEN NULL WHEN n IS NULL THEN 1.0 WHEN y IS NULL THEN 0.0 ELSE round(exp(y - greatest(y, n)) / (exp(y - greatest(y, n)) + exp(n - greatest(y, n))), 9) END::DOUBLE AS p_yes FROM b) "
-        "SELECT rec_id, p_yes, CASE WHEN p_yes >= 0.5 THEN 1 WHEN p_yes < 0.5 THEN 0 END AS choice FROM q"
+        f"WITH {_CAND}, b AS (SELECT line, max(CASE WHEN {word} = 'yes' THEN lp END) AS y, max(CASE WHEN {word} = 'no' THEN lp END) AS n FROM p GROUP BY line), "
+        "q AS (SELECT line, CASE WHEN y IS NULL AND n IS NULL THEN NULL WHEN n IS NULL THEN 1.0 WHEN y IS NULL THEN 0.0 ELSE round(exp(y - greatest(y, n)) / (exp(y - greatest(y, n)) + exp(n - greatest(y, n))), 9) END::DOUBLE AS p_yes FROM b) "
+        "SELECT line, p_yes, CASE WHEN p_yes >= 0.5 THEN 1 WHEN p_yes < 0.5 THEN 0 END AS choice FROM q"
     )
 
 
-_VERDICT = r"(?i)verdict\s*[:\-]?\s*\**\s*(hallucinat\w*|support\w*|not\s*sure|unsure)"
+_BLANK = r"[\s\x{000b}\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_VERDICT = r"(?i)verdict\s*[:\-]?\s*\**\s*(hallucinat\w*|support\w*|not\s*sure|unsure)".replace(r"\s", _BLANK)
 _LABEL = (
     f"(CASE WHEN raw IS NULL OR raw = '' THEN NULL WHEN lower(regexp_extract_all(raw, '{_VERDICT}', 1)[-1]) LIKE 'hallucinat%' THEN 1 WHEN lower(regexp_extract_all(raw, '{_VERDICT}', 1)[-1]) LIKE 'support%' THEN 0 "
     f"WHEN len(regexp_extract_all(raw, '{_VERDICT}', 1)) > 0 THEN NULL WHEN contains(lower(right(raw, 200)), 'hallucinat') THEN 1 WHEN contains(lower(right(raw, 200)), 'support') THEN 0 END)"
@@ -270,7 +279,7 @@ def _words(x: str) -> str:
 
 
 def _rate(which: int) -> str:
-    cases = " ".join(f"WHEN starts_with(model, '{p}') THEN {cost.RATES[p][which]}" for p in sorted(cost.RATES, key=len, reverse=True))
+    cases = " ".join(f"WHEN starts_with(model, '{p}') THEN {RATES[p][which]}" for p in sorted(RATES, key=len, reverse=True))
     return f"(CASE {cases} END)::DOUBLE"
 
 
@@ -324,8 +333,8 @@ SQL = {
     + rf"), y AS (SELECT rec_id, try_cast(regexp_extract(trim(regexp_extract(regexp_replace(text, '^\s+', ''), '^([^\n\r]*)', 1)), '(?i)^(?:score\s*[:=]?\s*)?{_NUM}(?:$|[^\d.]|\.\D|\.$)', 1) AS DOUBLE) AS lead, "
     rf"list_filter(list_transform(regexp_extract_all(text, '(?i)\bscores?\s*[:=]\s*(\d+(?:\.\d+)?)', 1), lambda v: v::DOUBLE), lambda v: v BETWEEN 1 AND 10)[-1] AS fin, list_sort(list_filter([{_NAMED}], lambda s: s.v IS NOT NULL))[-1].v AS ctx FROM x), "
     "z AS (SELECT rec_id, coalesce(lead, fin, ctx) AS score FROM y) SELECT rec_id, score, CASE WHEN score IS NULL THEN NULL WHEN score >= 5.5 THEN 0 ELSE 1 END AS label FROM z",
-    "constrained_choice": f"WITH {_CAND}, b AS (SELECT rec_id, sum(CASE WHEN word = 'yes' THEN exp(lp) ELSE 0 END) AS y, sum(CASE WHEN word = 'no' THEN exp(lp) ELSE 0 END) AS n FROM p GROUP BY rec_id), q AS (SELECT rec_id, round(y / nullif(y + n, 0), 9) AS p_yes FROM b) "
-    "SELECT rec_id, p_yes, CASE WHEN p_yes >= 0.5 THEN 1 WHEN p_yes < 0.5 THEN 0 END AS choice, 1 - CASE WHEN p_yes >= 0.5 THEN 1 WHEN p_yes < 0.5 THEN 0 END AS label FROM q",
+    "constrained_choice": f"WITH {_CAND}, b AS (SELECT line, sum(CASE WHEN word = 'yes' THEN exp(lp) ELSE 0 END) AS y, sum(CASE WHEN word = 'no' THEN exp(lp) ELSE 0 END) AS n FROM p GROUP BY line), q AS (SELECT line, round(y / nullif(y + n, 0), 9) AS p_yes FROM b) "
+    "SELECT line, p_yes, CASE WHEN p_yes >= 0.5 THEN 1 WHEN p_yes < 0.5 THEN 0 END AS choice, 1 - CASE WHEN p_yes >= 0.5 THEN 1 WHEN p_yes < 0.5 THEN 0 END AS label FROM q",
     "best_choice": _best("word"),
     "marked_choice": _best("bare"),
     "choice_tokens": r"WITH w AS (SELECT DISTINCT unnest(string_split_regex(raw, '[ \n]')) AS w FROM experiment), v AS (SELECT unnest([w, '▁' || w, 'Ġ' || w]) AS piece FROM w WHERE w <> '') "

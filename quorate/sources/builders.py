@@ -41,6 +41,17 @@ def best_or_first(rows: DataFrame, dataset: str = "truthfulqa") -> DataFrame:
     return _both(kept.where("good IS NOT NULL AND bad IS NOT NULL"), dataset, "pos", "type", ("category", "category"), "good", "bad").select(ITEM)
 
 
+def classified(rows: DataFrame) -> DataFrame:
+    """Question-answering responses with the flag ``faulty``, from (pos, query, context, output, task_type, processed, labels).
+
+    ``processed`` (struct of evident_conflict and baseless_info, counts) decides where it is there; else ``labels``, the
+    list of faults as text, does: a response is sound where that is null, empty, ``[]`` or ``null``.
+    """
+    counted = (F.coalesce("processed.evident_conflict", F.lit(0)) > 0) | (F.coalesce("processed.baseless_info", F.lit(0)) > 0)
+    listed = F.col("labels").isNotNull() & ~F.col("labels").isin("", "[]", "null")
+    return rows.where(F.lower("task_type") == "qa").select("pos", "query", "context", "output", F.when(F.col("processed").isNotNull(), counted).otherwise(listed).alias("faulty"))
+
+
 def first_pairs(rows: DataFrame, dataset: str = "ragtruth") -> DataFrame:
     """The first faithful and the first faulty response of each query, from (pos, query, context, output, faulty).
 
@@ -128,3 +139,34 @@ def exemplar_blocks(items: DataFrame, chosen: DataFrame, seed: int = 0) -> DataF
 def without_exemplars(items: DataFrame, chosen: DataFrame) -> DataFrame:
     """Items whose source row gave no exemplar; items without row_id stay."""
     return items.join(chosen.select("dataset", "row_id").distinct(), ["dataset", "row_id"], "left_anti")
+
+
+def _head(rows: DataFrame, by: str, n: int | None) -> DataFrame:
+    return rows if n is None else rows.orderBy(by).limit(n)
+
+
+#: Builders of the items of each data set, and where a limit falls: ``rows`` read, or ``pairs`` kept, or items after the shuffle.
+BUILDERS = {
+    "medhallu": (paired_rows, "rows"), "truthfulqa": (best_or_first, "rows"), "ragtruth": (first_pairs, "pairs"), "factscore": (nested_facts, "pairs"),
+    **{f"aggrefact_{s}": (lambda rows, s=s: balanced_claims(rows, f"aggrefact-{s}"), "items") for s in ("xsum", "wice", "cnn", "expertqa")},
+}
+
+
+def build(dataset: str, rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items of a data set from its source rows; raises for an unknown one.
+
+    A limit counts source rows in their order, pairs in theirs (both items of a pair are kept), or single items in the
+    order of the shuffle, whichever the set's builder limits.
+    """
+    if dataset not in BUILDERS:
+        raise ValueError(f"unknown data set {dataset!r}")
+    builder, at = BUILDERS[dataset]
+    if limit is None:
+        return builder(rows)
+    if at == "rows":
+        return builder(_head(rows, "pos", limit))
+    built = builder(rows)
+    if at == "pairs":
+        return built.join(_head(built.select("row_id").distinct(), "row_id", limit), "row_id", "left_semi").select(built.columns)
+    number = F.split("uid", ":")[0].cast("bigint")
+    return built.where(number < limit)

@@ -51,3 +51,11 @@ def pinned(files: DataFrame, sha256: str) -> DataFrame:
     if other:
         raise ValueError(f"{other[0][0]} does not have the pinned digest")
     return files
+
+
+def panel_source(spark: SparkSession, folder: str) -> list[str]:
+    """Where a panel's verdicts are read from: its members' files if there are any, else the file put together from them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/panel_shards/*.jsonl")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(f.getPath().toString() for f in found) or [f"{folder}/experiment.jsonl"]

@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.operators.verdicts import KEY
 from quorate.plans.lineage import shared_folder
 
-#: How long after its recording a verdict may still be delivered again.
-LATENESS = "400 days"
+def _unseen(batch: DataFrame, to: str) -> DataFrame:
+    """The verdicts of a batch that the table ``to`` does not have, each once, with the day of their recording.
 
-
-def first_deliveries(spark: SparkSession, path: str, to: str, state: str, lateness: str = LATENESS) -> None:
-    """Append every verdict of the files at ``path`` to the table ``to``, unless it was taken in before.
-
-    New files are read where the last call stopped (``state``), so a call that failed is made again without harm.  A
-    verdict is known by its key and time of recording within ``lateness``; state older than that is dropped.
+    A verdict is delivered again under the time of its recording, so only the days of the batch are looked at in the
+    table; however late a delivery comes, it is known.
+    """
+    spark = batch.sparkSession
+    event = F.coalesce(F.col("recorded_at"), F.col("loaded_at"))
+    rows = batch.withColumns({"event_time": event, "event_day": F.coalesce(F.date_format(event, "yyyy-MM-dd"), F.lit("none"))}).dropDuplicates([*KEY, "event_time"])
+    try:
+        known = spark.read.schema(f"{', '.join(f'{k} string' for k in KEY)}, event_time {dict(rows.dtypes)['event_time']}, event_day string").parquet(to)
+    except AnalysisException:  # nothing was taken in yet
+        return rows
+    known = known.join(rows.select("event_day").distinct(), "event_day", "left_semi").alias("k")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (*KEY, "event_time", "event_day")]
+    return rows.alias("r").join(known, functools.reduce(lambda a, b: a & b, same), "left_anti")
+
+
+def first_deliveries(spark: SparkSession, path: str, to: str, state: str) -> None:
+    """Append every verdict of the files at ``path`` to the table ``to``, unless it was taken in before, however long ago.
+
+    New files are read where the last call stopped (``state``), and a batch that was written but not noted is found in
+    the table, so a call that failed is made again without harm.  The table is kept by day of recording.
     """
     schema = spark.read.parquet(path).schema
     # As a pattern, a path may be a single file as well as a folder.
     rows = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    event = F.coalesce(F.col("recorded_at"), F.col("loaded_at")).cast("timestamp")
-    fresh = rows.withColumn("event_time", event).withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([*KEY, "event_time"])
-    query = fresh.drop("event_time").writeStream.format("parquet").option("path", to).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
+    take = lambda batch, _: _unseen(batch, to).write.mode("append").partitionBy("event_day").parquet(to)
+    rows.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def delivered(spark: SparkSession, path: str) -> DataFrame:

@@ -75,7 +75,7 @@ def test_cut_and_spread(spark):
 def test_shared_folder_is_the_sessions(spark, monkeypatch):
     from quorate.plans import lineage
 
-    assert lineage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert lineage.shared_folder(spark) == f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/quorate-{spark.sparkContext.applicationId}"
 
     class Unset:
         conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})

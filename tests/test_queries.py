@@ -2,9 +2,9 @@
 
 import pytest
 
-from quorate.plans import drift_queries, item_queries, stream_queries, verdict_queries
+from quorate.plans import assembly_queries, drift_queries, item_queries, stream_queries, verdict_queries
 
-MODULES = [verdict_queries, item_queries, drift_queries, stream_queries]
+MODULES = [verdict_queries, item_queries, drift_queries, stream_queries, assembly_queries]
 #: Queries whose columns follow from the data; their SQL states those of scale 0.01.
 LARGER = {"p1_records": "/root/testdata/sf0.01"}
 CASES = [(m, n) for m in MODULES for n in m.QUERIES]
@@ -17,7 +17,7 @@ def test_query(module, name, spark, data, same, sound):
     else:
         df = module.QUERIES[name](spark, data)
         sound(df)
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.count() > 0
 
 
 def test_names_are_unique():

@@ -159,7 +159,8 @@ def test_marked_finds_all_that_bare_finds(spark):
 
 def test_cost(spark):
     calls = spark.createDataFrame([("d", "kettle/steam-12b-x", 100, 10), ("d", "kettle/other", 50, 5), ("d", "who", 1, 1)], "dataset string, model string, tokens_in long, tokens_out long")
-    got = {r.model: r for r in cost.usage(calls).collect()}
+    rates = {"kettle/": (0.2, 0.6), "kettle/steam-12b": (0.5, 1.5)}
+    got = {r.model: r for r in cost.usage(calls, rates).collect()}
     assert got["kettle/steam-12b-x"].cost_usd == pytest.approx((100 * 0.5 + 10 * 1.5) / 1e6)
     assert got["kettle/other"].cost_usd == pytest.approx((50 * 0.2 + 5 * 0.6) / 1e6)
     assert got["who"].cost_usd is None and got["who"].calls == 1
