@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorate.llm.defects import _VERDICT_STATED, _WEIGHTS, FUNCTION_WORDS
+from quorate.llm.defects import _VERDICT_STATED, FUNCTION_WORDS
 from quorate.plans.lineage import cut, parts, spread
 
 #: Languages that are factored apart; texts without any of their words share the last place.
 LANGUAGES = (*FUNCTION_WORDS, "other")
 #: Terms that words are hashed to, updates of the components at most, inner updates of the mixtures of texts and of
 #: sentences, the power that sharpens a sentence's mixture, and the least gain in fit that another update must bring.
-TERMS, ROUNDS, INNER, SETTLE, SHARP, GAIN = 1 << 15, 8, 5, 12, 8, 0.002
+TERMS, ROUNDS, INNER, SETTLE, SHARP, GAIN = 1 << 14, 8, 5, 12, 8, 0.002
 #: Least share of a sentence's mass on subjects that makes it bear one, and of a text's mixture that makes it treat one:
 #: more than a quarter, so that a third still counts where a stray sentence bears something else.
 BEARING, TREATED = 0.15, 0.26
@@ -40,27 +40,33 @@ _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 
 def term(word: str) -> int:
     """Term of a lower-case word, accents apart."""
-    return zlib.crc32("".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).encode()) % TERMS
+    plain = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return zlib.crc32(plain.encode()) % TERMS
 
 
 class _Words(dict):
-    """Number of each word met so far, with its term and what it says for each language."""
+    """Number of each word met so far, with its term and what it says for each language; function words come first."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.terms: list[int] = []
-        self.langs: list[tuple[float, ...]] = []
+        spoken = dict.fromkeys(w for words in FUNCTION_WORDS.values() for w in words if len(w) > 2)
+        self._terms: list[int] = []
+        for word in spoken:
+            self[word]
+        each = [[1 / sum(w in words for words in FUNCTION_WORDS.values()) if w in own else 0.0 for own in FUNCTION_WORDS.values()] for w in spoken]
+        self.weights = np.array(each)
 
     def __missing__(self, word: str) -> int:
-        weights = dict(_WEIGHTS[word])
-        self.langs.append(tuple(weights.get(lang, 0.0) for lang in FUNCTION_WORDS))
-        self.terms.append(term(word))
-        self[word] = number = len(self.terms) - 1
+        self._terms.append(term(word))
+        self[word] = number = len(self._terms) - 1
         return number
 
+    def terms(self) -> np.ndarray:
+        return np.array(self._terms, np.int64)
+
 
 def tokenised(documents: DataFrame) -> DataFrame:
-    """doc_id, lang (index), terms (of all sentences, each once a sentence, in order) and lens (terms per sentence); verdicts have no words."""
+    """doc_id, lang (index), terms (of all sentences, each once a sentence, in order) and lens (terms per sentence), own and counts (the text's terms and how many sentences have them); verdicts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -83,7 +89,7 @@ def tokenised(documents: DataFrame) -> DataFrame:
                     per_doc.append(len(lens) - before)
                 yield _numbered(part.column(0), np.array(ids, np.int64), np.array(lens, np.int64), np.array(per_doc, np.int64), known)
 
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang int, terms array<int>, lens array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang int, terms array<int>, lens array<int>, own array<int>, counts array<int>")
 
 
 def _numbered(keys: pa.Array, ids: np.ndarray, lens: np.ndarray, per_doc: np.ndarray, known: _Words) -> pa.RecordBatch:
@@ -91,19 +97,20 @@ def _numbered(keys: pa.Array, ids: np.ndarray, lens: np.ndarray, per_doc: np.nda
     doc = np.repeat(np.arange(n), per_doc)
     said = np.zeros((n, len(LANGUAGES)))
     sentence = np.repeat(np.arange(len(lens)), lens)
+    key = np.zeros(0, np.int64)
     if len(ids):
-        weights, terms = np.array(known.langs), np.array(known.terms, np.int64)
-        np.add.at(said[:, :-1], doc[sentence], weights[ids])
-        key = np.unique(sentence * TERMS + terms[ids])
-    else:
-        key = np.zeros(0, np.int64)
+        speaks = np.flatnonzero(ids < len(known.weights))
+        for lang in range(len(FUNCTION_WORDS)):
+            said[:, lang] = np.bincount(doc[sentence[speaks]], known.weights[ids[speaks], lang], n)
+        key = np.unique(sentence * TERMS + known.terms()[ids])
     said[:, -1] = said.sum(1) == 0
     sizes = np.bincount(key // TERMS, minlength=len(lens))
-    ends = lambda x: pa.array(np.r_[0, np.cumsum(x)].astype(np.int32))
-    per = np.bincount(doc, sizes, n).astype(np.int64)
+    own, counts = np.unique(np.repeat(doc, sizes) * TERMS + key % TERMS, return_counts=True)
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)].astype(np.int32)), pa.array(values.astype(np.int32)))
+    per, per_own = np.bincount(doc, sizes, n).astype(np.int64), np.bincount(own // TERMS, minlength=n)
     return pa.RecordBatch.from_arrays(
-        [keys, pa.array(said.argmax(1), pa.int32()), pa.ListArray.from_arrays(ends(per), pa.array((key % TERMS).astype(np.int32))), pa.ListArray.from_arrays(ends(per_doc), pa.array(sizes.astype(np.int32)))],
-        ["doc_id", "lang", "terms", "lens"],
+        [keys, pa.array(said.argmax(1), pa.int32()), lists(per, key % TERMS), lists(per_doc, sizes), lists(per_own, own % TERMS), lists(per_own, counts)],
+        ["doc_id", "lang", "terms", "lens", "own", "counts"],
     )
 
 
@@ -126,16 +133,23 @@ def mixtures(own: np.ndarray, at: np.ndarray, weight: np.ndarray, w: np.ndarray,
 
 def _counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and count of the entries of a batch of documents, sorted by row, and the rows' languages."""
-    values, lens = _flat(batch.column("terms"))
-    key, count = np.unique(np.repeat(np.arange(len(lens)), lens) * TERMS + values, return_counts=True)
-    return key // TERMS, key % TERMS, count.astype(float), batch.column("lang").to_numpy().astype(np.int64)
+    values, lens = _flat(batch.column("own"))
+    return np.repeat(np.arange(len(lens)), lens), values, _flat(batch.column("counts"))[0].astype(float), batch.column("lang").to_numpy().astype(np.int64)
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     for lo in range(0, batch.num_rows, rows):
         yield batch.slice(lo, rows)
 
 
+def _add(total: np.ndarray, key: np.ndarray, values: np.ndarray) -> None:
+    """Add rows of values to the rows of ``total`` that ``key`` numbers, equal ones together."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    total[key[edges]] += np.add.reduceat(values[order], edges, axis=0)
+
+
 def _gathered(rows: DataFrame, work, wide: int) -> np.ndarray:
     """Sum over all tasks of the arrays (language, term, component) that ``work`` adds up.
 
@@ -143,18 +157,18 @@ def _gathered(rows: DataFrame, work, wide: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LANGUAGES), TERMS, wide))
+        total = np.zeros((len(LANGUAGES) * TERMS, wide))
         for batch in batches:
             for part in _parts(batch):
                 work(part, total)
-        lang, at = np.nonzero(total.any(2))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(at, pa.int32()), *[pa.array(total[lang, at, k]) for k in range(wide)]], ["lang", "term", *[f"c{k}" for k in range(wide)]])
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[at, k].astype(np.float32)) for k in range(wide)]], ["at", *[f"c{k}" for k in range(wide)]])
 
     names = [f"c{k}" for k in range(wide)]
-    summed = rows.mapInArrow(run, "lang int, term int, " + ", ".join(f"{c} double" for c in names)).groupBy("lang", "term").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    out = np.zeros((len(LANGUAGES), TERMS, wide))
-    out[summed.column("lang").to_numpy(), summed.column("term").to_numpy()] = np.column_stack([summed.column(c).to_numpy() for c in names])
-    return out
+    summed = rows.mapInArrow(run, "at int, " + ", ".join(f"{c} float" for c in names)).groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((len(LANGUAGES) * TERMS, wide))
+    out[summed.column("at").to_numpy()] = np.column_stack([summed.column(c).to_numpy() for c in names])
+    return out.reshape(len(LANGUAGES), TERMS, wide)
 
 
 def seeds(rows: DataFrame, k: int, notes: list[set[int]]) -> np.ndarray:
@@ -169,11 +183,12 @@ def seeds(rows: DataFrame, k: int, notes: list[set[int]]) -> np.ndarray:
         if not len(at):
             return
         share = count / np.bincount(at, count, batch.num_rows)[at]
-        np.add.at(total, (lang[at], terms, k), share)
+        key = lang[at] * TERMS + terms
+        _add(total[:, k:], key, share[:, None])
         anchors, lens = _flat(batch.column("subjects"))
         for i, s in zip(np.repeat(np.arange(len(lens)), lens), anchors, strict=True):
             lo, hi = np.searchsorted(at, [i, i + 1])
-            total[lang[i], terms[lo:hi], s] += share[lo:hi] / lens[i]
+            total[key[lo:hi], s] += share[lo:hi] / lens[i]
 
     total = _gathered(rows, work, k + 1)
     mass = total.sum(1)
@@ -214,7 +229,7 @@ def learned(rows: DataFrame, h: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
             w *= (np.bincount(at, count, batch.num_rows) / w.sum(1))[:, None]
             w = mixtures(own, at, count, w)
             fit = (w[at] * own).sum(1) + 1e-12
-            np.add.at(total, (lang[at], terms), np.column_stack([w[at] * (count / fit)[:, None], count * np.log(count / fit)]))
+            _add(total, lang[at] * TERMS + terms, np.column_stack([w[at] * (count / fit)[:, None], count * np.log(count / fit)]))
 
         total = _gathered(rows, work, wide + 1)
         sent.destroy()  # only one round's components lie on the executors' disks
@@ -249,7 +264,8 @@ def shares(rows: DataFrame, h: np.ndarray, names: list[str]) -> DataFrame:
                     bears = mass >= BEARING * w.sum(1)
                     np.add.at(found, (doc[bears], w[bears, :-1].argmax(1)), 1)
                     sharp = w[bears, :-1] ** SHARP
-                    np.add.at(mixed, doc[bears], sharp / sharp.sum(1, keepdims=True))
+                    if len(sharp):
+                        _add(mixed, doc[bears], sharp / sharp.sum(1, keepdims=True))
                 mixed = np.round(mixed / np.maximum(found.sum(1), 1)[:, None], 6)
                 i, s = np.nonzero(mixed >= LEAST)
                 ids = part.column("doc_id").to_numpy()[i]
@@ -273,9 +289,9 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
     docs = documents.where("doc_id IS NOT NULL")
     # Hashed, so that the matrix has even parts whatever the sizes of the input's files; their number follows its bytes.
     tokens = tokenised(docs).repartition(parts(docs), "doc_id")
-    rows = cut(tokens.join(anchors, "doc_id", "left").select("doc_id", "lang", F.coalesce("subjects", F.array().cast("array<int>")).alias("subjects"), "terms", "lens"))
+    rows = cut(tokens.join(anchors, "doc_id", "left").select("doc_id", "lang", F.coalesce("subjects", F.array().cast("array<int>")).alias("subjects"), "terms", "lens", "own", "counts"))
     scope = [{term(w) for w in _WORD.findall(f"{r['subject']} {r['note'] or ''}".lower())} for r in notes]
-    train = rows.select("lang", "subjects", "terms")
+    train = rows.select("lang", "subjects", "own", "counts")
     return shares(rows, learned(train, seeds(train, len(names), scope)), names)
 
 
