@@ -237,7 +237,7 @@ def telling_members(objects: DataFrame) -> DataFrame:
 
 
 def unified_records(lines: DataFrame, renames: DataFrame, max_fields: int = 5000) -> DataFrame:
-    """All complete records as one table with one set of typed columns.
+    """All complete records of ``lines`` (stream, file_id and payload at least) as one table with one set of typed columns.
 
     Names become one column where a rename links them (rows of ``changes``), where they differ in letter case and signs
     only, or where all items have the same values under them (``same_values``).  The column has the name and the type
