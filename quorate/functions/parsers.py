@@ -74,13 +74,13 @@ def parse_score(text: Column) -> Column:
     first = F.regexp_extract(F.regexp_replace(text, _wide(r"^\s+"), ""), r"^([^\n\r]*)", 1)
     lead = F.regexp_extract(strip(first), _wide(LEADING_1_10), 1)
     finals = F.filter(F.regexp_extract_all(text, F.lit(_wide(FINAL_1_10)), F.lit(1)), lambda v: v.cast("double").between(1, 10))
-    valid = _1_10 + r"(?:[^\d.]|\.\D|\.$|$)"
+    valid = r"(?:[^\d.]|\.\D|\.$|$)"
+    # Each pattern is matched once, as far as its number or its 10; the number is then read off the end of the match.
     named = []
-    for before in CONTEXTS_1_10:
-        pattern = _wide(r"(?is)^(.*" + before + ")" + valid)
-        named.append((F.length(F.regexp_extract(text, pattern, 1)) + F.length(F.regexp_extract(text, pattern, 2)), F.regexp_extract(text, pattern, 2)))
-    pattern = r"(?is)^(.*(?:^|[^\d.]))" + _1_10 + "(" + _wide(OUT_OF_10) + ")"
-    named.append((F.length(F.regexp_extract(text, pattern, 1)) + F.length(F.regexp_extract(text, pattern, 2)) + F.length(F.regexp_extract(text, pattern, 3)), F.regexp_extract(text, pattern, 2)))
+    for before, after in [*((c, None) for c in CONTEXTS_1_10), (r"(?:^|[^\d.])", OUT_OF_10)]:
+        pattern = r"(?is)^(.*" + before + _1_10 + (after or "") + ")" + (valid if after is None else "")
+        seen = F.regexp_extract(text, _wide(pattern), 1)
+        named.append((F.length(seen), F.regexp_extract(seen, _wide("(?i)" + _1_10 + (after or "") + "$"), 1)))
     best = F.array_max(F.filter(F.array(*[F.struct(end.alias("end"), v.cast("double").alias("value")) for end, v in [(e, F.nullif(v, F.lit(""))) for e, v in named]]), lambda s: s["value"].isNotNull()))["value"]
     return F.coalesce(F.nullif(lead, F.lit("")).cast("double"), F.try_element_at(finals, F.lit(-1)).cast("double"), best)
 
